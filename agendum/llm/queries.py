@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agendum.llm import binout, common, packing, substring, tokencount
+from agendum.llm import binout, common, ngramjoin, packing, quality, substring, tokencount
 from agendum.llm.common import table
 from agendum.llm.tokens import vocabulary
 
@@ -27,11 +27,20 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.join(packed.placement, "piece_uid").drop("piece_uid")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_records, op5_token_counts, op7_best_fit_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op4_token_records, op5_token_counts, op7_best_fit_packing, op8_ngram_jaccard, op9_quality_rules, op10_substring_dedup)}
 
 ORACLE: dict[str, str] = {}
