@@ -103,7 +103,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
 
     Terms are runs of a-z, 0-9 and characters beyond ASCII, A-Z lower-cased. Blocks are runs of block terms that begin at
     every half block, so that any half block of terms lies in one; each block that meets a template within threshold
-    makes a span, and its label counts unless a better template of the block shares those terms and more. n_base counts all places of phrases, first_word and last_word are the first and last (null: none);
+    makes a span, and its label counts unless another template of the block shares those terms and more. n_base counts all places of phrases, first_word and last_word are the first and last (null: none);
     labels are distinct, sorted and joined by commas; score is the highest containment of any template, 1 with a phrase.
     A null or empty text has no terms and empty labels; repeated rows are scanned alike; columns of the added names are
     replaced; an empty table stays empty. Templates travel with the tasks, so their number must stay small (thousands).
@@ -131,15 +131,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
             half = block // 2
             for b in sorted({s for p in (places // half).tolist() for s in (p - 1, p) if s >= 0}):
                 part = sorted(set(ranks[b * half : b * half + block]) - {-1})
-                taken: list[set[int]] = []
                 met = index.meets(part)
-                for n in sorted(met, key=lambda n: (-len(met[n]) / len(index.sets[n]), -len(met[n]), n)):
+                for n in sorted(met):
                     share = len(met[n]) / len(index.sets[n])
                     spans.append({"start": b * half, "end": min(len(words), b * half + block), "label": index.labels[n], "containment": share})
                     score = max(score, share)
-                    if not any(met[n] < t for t in taken):
+                    if not any(met[n] < other for other in met.values()):
                         labels.add(index.labels[n])
-                        taken.append(met[n])
         at = [p for p, _ in hits]
         return len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 

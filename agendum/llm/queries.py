@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agendum.llm import binout, common, licenses, mixing, ngramjoin, packing, quality, substring, tokencount, topk, urls
 from agendum.llm.common import table
+from agendum.llm.oracle import ORACLE  # noqa: F401
 from agendum.llm.tokens import vocabulary
 
 
@@ -75,4 +76,4 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+
