@@ -1,19 +1,30 @@
-"""Token ids by the tokenizers library, asked once for each new piece between white space."""
+"""Token ids by the tokenizers library, asked once for each new piece of text.
+
+Both vocabularies split a text at white space, and between letters, digits and symbols, before they merge bytes, so
+the ids of a text are those of its pieces one after another. Pieces are found and told apart by hashes in numpy, for
+many texts at once; the library encodes those that are new, and the ids of the ones met lately are kept.
+"""
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
+import pandas as pd
+
+from agendum.llm.wordhash import BYTE, spans
 
 #: White space as the tokenizers' own patterns take it (the Unicode property White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Pieces of byte-level texts: a word takes the one blank before it, runs of white space end before that blank.
-KEPT_SPACE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Pieces of texts whose white space the tokenizer drops.
-NO_SPACE = re.compile(f"[^{SPACE}]+")
-#: Runs of plain letters, digits and symbols, at whose ends both tokenizers split a piece too; an apostrophe may do otherwise.
-PARTS = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[!-&(-/:-@\\[-`{-~]+")
+FAR_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: Kinds of bytes. BREAK stands between texts; bytes beyond ASCII count as letters.
+BLANK, LETTER, DIGIT, SYMBOL, BREAK = range(5)
+KIND = np.full(256, SYMBOL, np.uint8)
+KIND[[0x20, *range(0x09, 0x0E)]] = BLANK
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xFF)]] = LETTER
+KIND[0x30:0x3A] = DIGIT
+KIND[0xFF] = BREAK
 
 
 def vocabulary(name: str) -> str:
@@ -23,64 +34,116 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Pieces(dict):
-    """Token ids of texts, as the library gives them for each whole text.
+def split(data: np.ndarray, keep_space: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of texts joined by 0xFF.
 
-    Both vocabularies split texts at white space before they merge, so the ids of a text are those of its
-    pieces one after another. The dictionary numbers the pieces it has met, and the ids of about max_pieces
-    of them are kept: once so many are new, those not met since the last time go. A text that holds one of
-    the tokenizer's special strings goes to the library whole.
+    A piece is a run of letters, digits or symbols; a word with an apostrophe or with characters other than the
+    letters of Latin-1 stays whole, as rules of the tokenizers may join what differs in kind there. With keep_space
+    a run takes the blank before it, and what is left of white space makes pieces as the byte-level pattern has it:
+    a run up to its last character where a word follows, the last character unless the word takes it, else all.
+    """
+    kind = KIND[data]
+    apart = np.ones(len(data) + 1, bool)
+    apart[1:-1] = kind[1:] != kind[:-1]
+    inside = (kind != BLANK) & (kind != BREAK)
+    previous = np.concatenate([[0], data[:-1]])
+    odd = (data == 0x27) | (data >= 0x80) & (data != 0xC3) & ((previous != 0xC3) | (data == 0x97) | (data == 0xB7)) & (data != 0xFF)
+    if odd.any():
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        total = np.concatenate([[0], np.cumsum(odd)])
+        for a, b in zip(*(x[total[ends] > total[starts]].tolist() for x in (starts, ends)), strict=True):
+            apart[a + 1 : b] = False
+    at = np.flatnonzero(apart)
+    starts, ends = at[:-1], at[1:]
+    first = kind[starts] if len(starts) else np.zeros(0, np.uint8)
+    if not keep_space:
+        word = inside[starts]
+        return starts[word], ends[word]
+    blank = first == BLANK
+    followed = np.zeros(len(starts), bool)
+    followed[:-1] = blank[:-1] & (first[1:] != BREAK)
+    taken = followed & (data[ends - 1] == 0x20)  # by the word behind
+    left = np.flatnonzero(followed & (ends - starts > 1))  # what stands before the last character
+    words, last = np.flatnonzero(~blank & (first != BREAK)), np.flatnonzero(followed & ~taken)
+    whole = np.flatnonzero(blank & ~followed)
+    after = np.zeros(len(starts), bool)
+    after[1:] = taken[:-1]
+    a = np.concatenate([starts[words] - after[words], starts[left], ends[last] - 1, starts[whole]])
+    b = np.concatenate([ends[words], ends[left] - 1, ends[last], ends[whole]])
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order]
+
+
+class Pieces:
+    """Token ids of texts, as the library gives them for each whole text; ids of at most max_pieces pieces are kept.
+
+    Pieces are known by 64-bit hashes. A text that holds one of the tokenizer's special strings, or white space
+    beyond ASCII, goes to the library whole.
     """
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
-        import os
-
+    def __init__(self, path: str, max_pieces: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        same = lambda a, b: self._library([a]) == self._library([b])
-        self.pattern = NO_SPACE if same("a a", "a  a") else KEPT_SPACE
-        self.lower = same("a", "A")
-        self.max_pieces = max_pieces
-        self.old: dict[str, bytes] = {}
-        self.ids_of: list[bytes | None] = []
-        self.new: list[str] = []
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self.ids_of)
-        self.ids_of.append(known := self.old.get(piece))
-        if known is None:
-            self.new.append(piece)
-        return n
+        same = lambda a, b: self.library([a]) == self.library([b])
+        self.keep_space, self.lower = not same("a a", "a  a"), same("a", "A")
+        self.max_pieces, self.turn = max_pieces, 0
+        self.number: dict[int, int] = {}
+        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def forget(self) -> None:
+        """Keeps the half of the pieces that were used last."""
+        kept = np.sort(np.argsort(self.used, kind="stable")[len(self.used) // 2 :])
+        hashes = np.fromiter(self.number, np.uint64, len(self.number))[kept]
+        self.number = dict(zip(hashes.tolist(), range(len(kept)), strict=True))
+        sizes = self.size[kept]
+        self.pool = self.gather(kept)
+        self.start, self.size, self.used = np.cumsum(sizes) - sizes, sizes, self.used[kept]
+
+    def gather(self, pieces: np.ndarray) -> np.ndarray:
+        sizes = self.size[pieces]
+        before = np.cumsum(sizes) - sizes
+        return self.pool[np.repeat(self.start[pieces] - before, sizes) + np.arange(sizes.sum())]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit unsigned integers; none for null and empty texts."""
-        whole = [bool(t) and any(s in t for s in self.special) for t in texts]
-        seen = [[] if w or not t else list(map(self.__getitem__, self.pattern.findall(t.lower() if self.lower and t.isascii() else t))) for t, w in zip(texts, whole, strict=True)]
-        whole_pieces, split = [], []
-        for piece in self.new:  # grows as parts are met
-            parts = PARTS.findall(piece)
-            if len(parts) > 1 and sum(map(len, parts)) == len(piece):
-                split.append((self[piece], list(map(self.__getitem__, parts))))
-            else:
-                whole_pieces.append(piece)
-        for piece, ids in zip(whole_pieces, self._library(whole_pieces), strict=True):
-            self.ids_of[self[piece]] = ids
-        for n, parts in split:
-            self.ids_of[n] = b"".join(map(self.ids_of.__getitem__, parts))
-        self.new = []
-        out = [self._library([t])[0] if w else b"".join(map(self.ids_of.__getitem__, s)) for t, w, s in zip(texts, whole, seen, strict=True)]
-        if len(self) > self.max_pieces:
-            self.old = {p: self.ids_of[n] for p, n in self.items() if len(p) <= 64}
-            self.clear()
-            self.ids_of = []
-        return out
+        whole = [bool(t) and (any(s in t for s in self.special) or not t.isascii() and FAR_SPACE.search(t) is not None) for t in texts]
+        raw = [b"" if w or not t else t.encode("utf-8") for t, w in zip(texts, whole, strict=True)]
+        joined = b"\xff".join(raw)
+        joined = joined.lower() if self.lower else joined
+        data = np.frombuffer(joined, np.uint8)
+        starts, ends = split(data, self.keep_space)
+        codes, hashes = pd.factorize(spans(data.astype(np.uint64), starts, ends, BYTE))
+        self.turn += 1
+        known = [self.number.get(h, -1) for h in hashes.tolist()]
+        numbers = np.array(known, np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            at = np.empty(len(hashes), np.int64)
+            at[codes[::-1]] = np.arange(len(codes))[::-1]  # where each piece stands first
+            made = self.library([joined[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+            numbers[new] = len(self.number) + np.arange(len(new))
+            self.number.update(zip(hashes[new].tolist(), numbers[new].tolist(), strict=True))
+            sizes = np.array([len(m) for m in made], np.int64)
+            self.start = np.append(self.start, len(self.pool) + np.cumsum(sizes) - sizes)
+            self.size, self.used = np.append(self.size, sizes), np.append(self.used, np.zeros(len(new), np.int64))
+            self.pool = np.append(self.pool, np.array([i for m in made for i in m], np.uint32))
+        self.used[numbers] = self.turn
+        pieces = numbers[codes]
+        flat = self.gather(pieces).astype("<u4").tobytes()
+        begin = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        tokens = np.concatenate([[0], np.cumsum(self.size[pieces])])[np.searchsorted(starts, begin)]
+        tokens = (4 * tokens).tolist()
+        if len(self.number) > self.max_pieces:
+            self.forget()
+        return [np.array(self.library([t])[0], "<u4").tobytes() if w else flat[tokens[n] : tokens[n + 1]] for n, (t, w) in enumerate(zip(texts, whole, strict=True))]
 
 
 _open: dict[str, Pieces] = {}
