@@ -12,12 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: The event record; columns that came later are nullable and default to null in older snapshots.
-EVENT_SCHEMA = T.StructType.fromDDL(
-    "id long, title string, description string, url_source string, source_name string, source_type string, territoire string, ville string, lieu string, "
-    "organisateur string, date_event_start string, date_event_end string, time_event string, recurring int, multi_lieux int, statut string, duplicate_of long, "
-    "translation_of long, wp_post_id_as long, llm_score double, user_score double, home_score double, url_image string, lang string, "
-    "llm_score_detail string, enrich_data string, infos_pratiques string, published_as_date string, created_at string, edition_precedente long, edition_suivante long"
-)
+EVENT_FIELDS = {
+    T.LongType(): "id duplicate_of translation_of wp_post_id_as edition_precedente edition_suivante",
+    T.IntegerType(): "recurring multi_lieux",
+    T.DoubleType(): "llm_score user_score home_score",
+    T.StringType(): "title description url_source source_name source_type territoire ville lieu organisateur date_event_start date_event_end time_event "
+    "statut url_image lang llm_score_detail enrich_data infos_pratiques published_as_date created_at",
+}
+EVENT_SCHEMA = T.StructType([T.StructField(n, kind) for kind, names in EVENT_FIELDS.items() for n in names.split()])
 
 
 def events_from(df: DataFrame) -> DataFrame:

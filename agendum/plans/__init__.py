@@ -1,6 +1,6 @@
 """The registry of queries over the test tables and their SQL."""
 
-from agendum.plans import relational
+from agendum.plans import relational, texts
 
-QUERIES = {**relational.QUERIES}
-SQL = {**relational.SQL}
+QUERIES = {**relational.QUERIES, **texts.QUERIES}
+SQL = {**relational.SQL, **texts.SQL}
