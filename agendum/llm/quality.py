@@ -66,14 +66,14 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(c).cast("long").alias(c) for c in COUNTS])
 
 
-#: What rules look at, as expressions over COUNTS.
+#: What rules look at, as expressions over COUNTS; among equal tests the earlier counts, so that mere length comes last.
 FEATURES = {
-    "n_words": "cast(n_words as double)",
-    "chars_per_word": "coalesce(try_divide(word_chars, n_words), 0D)",
     "symbols_per_word": "coalesce(try_divide(n_symbols, n_words), cast(n_symbols as double))",
     "repeated_share": "coalesce(try_divide(n_repeat_words, n_words), 0D)",
     "duplicate_line_share": "coalesce(try_divide(n_dup_lines, n_lines), 0D)",
     "distinct_share": "coalesce(try_divide(n_distinct, n_words), 1D)",
+    "chars_per_word": "coalesce(try_divide(word_chars, n_words), 0D)",
+    "n_words": "cast(n_words as double)",
 }
 BASE_FAILED = f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words"
 
@@ -146,7 +146,9 @@ def learn_rules(cells, points: dict[str, list[float]], least_precision: float =
                 for b in range(len(points[name]), 0, -1):  # bins from b up
                     p, n_ = p + bad[b], n_ + good[b]
                     for up, x, y in ((True, p, n_), (False, p0 - p, n0 - n_)):
-                        if x and (gain := x * (log2(x / (x + y)) - log2(p0 / (p0 + n0)))) > best[0] + 1e-9:
+                        gain = x * (log2(x / (x + y)) - log2(p0 / (p0 + n0))) if x else 0.0
+                        same = best[1] is not None and best[1][:2] == (f, up)
+                        if gain > best[0] + (-1e-9 if same else 1e-9):  # of equal cuts the lowest: the middle of a gap
                             best = gain, (f, up, b)
             if best[1] is None:
                 break
