@@ -25,12 +25,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     where, offset, n = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for i, size in enumerate(lengths.tolist()):
-        # Half the change of the sum of squares, for each gap from size up: one bin fewer there, one more at what is left.
-        change = open_[: capacity + 1 - size] - open_[size:]
-        change[0] = -open_[size]  # a bin filled to the brim leaves the sum
-        change[1:] += 1
+        # The change of the sum of squares, for each gap from size up: one bin fewer there, one more at what is left.
+        change = 2 * (open_[: capacity + 1 - size] - open_[size:]) + 2
+        change[0] = 1 - 2 * open_[size]  # a bin filled to the brim leaves the sum
         change[open_[size:] == 0] = np.iinfo(np.int64).max
-        change[-1] = open_[capacity - size] + 1 if size < capacity else 0  # a new bin
+        change[-1] = 2 * open_[capacity - size] + 1 if size < capacity else 0  # a new bin
         gap = size + int(change.argmin())
         if gap == capacity:
             b, n = n, n + 1
