@@ -108,31 +108,31 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec
     spark = candidates.sparkSession
     common.ship(spark)
     shape = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null").withColumn("size", F.size("v"))
-    c, q = shape(candidates), shape(queries).distinct()
+    c, q = shape(candidates), shape(queries).distinct().withColumn("same", F.xxhash64("v"))  # tells queries of one id apart
     shards, blocks = max(1, -(-c.count() // shard_rows)), max(1, -(-q.count() // block_rows))
     c = c.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    floor_schema = "query_id long, vec_id long, score long, v array<long>"
+    names = ["query_id", "same", "vec_id", "score"]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "v": []})
+            return pd.DataFrame([], columns=names, dtype="int64")
         tree = BallTree(np.stack(left["v"].to_numpy()))
         asked = np.stack(right["v"].to_numpy())
         low = right["floor"].fillna(-np.inf).to_numpy(np.float64)
-        names = right["id"].to_numpy()
-        rows = list(search(tree, left["id"].to_numpy(), asked, names, low, k))
-        return pd.DataFrame([(names[i], j, s, right["v"].iloc[i]) for i, j, s in rows], columns=["query_id", "vec_id", "score", "v"])
+        own, same = right["id"].to_numpy(), right["same"].to_numpy()
+        rows = [(own[i], same[i], j, s) for i, j, s in search(tree, left["id"].to_numpy(), asked, own, low, k)]
+        return pd.DataFrame(rows, columns=names, dtype="int64")
 
     def wave(c: DataFrame, q: DataFrame, first: int, last: int) -> DataFrame:
         spread = q.withColumn("shard", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
         keys = ["size", "shard", "block"]
-        return c.filter(F.col("shard").between(first, last)).groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(meet, floor_schema)
+        return c.filter(F.col("shard").between(first, last)).groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(meet, "query_id long, same long, vec_id long, score long")
 
     found = common.stored(wave(c, q.withColumn("floor", F.lit(None).cast("double")), 0, 0), "pilot")
     if shards > 1:
-        rank = Window.partitionBy("query_id", "v").orderBy(F.desc("score"))
-        kth = found.withColumn("n", F.row_number().over(rank)).filter(F.col("n") == k).select(F.col("query_id").alias("id"), "v", F.col("score").cast("double").alias("floor"))
-        found = found.unionByName(wave(c, q.join(kth, ["id", "v"], "left"), 1, shards - 1))
-    order = Window.partitionBy("query_id", "v").orderBy(F.desc("score"), "vec_id")
+        rank = Window.partitionBy("query_id", "same").orderBy(F.desc("score"))
+        kth = found.withColumn("n", F.row_number().over(rank)).filter(F.col("n") == k).select(F.col("query_id").alias("id"), "same", F.col("score").cast("double").alias("floor"))
+        found = found.unionByName(wave(c, q.join(kth, ["id", "same"], "left"), 1, shards - 1))
+    order = Window.partitionBy("query_id", "same").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
