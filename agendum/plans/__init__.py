@@ -1,6 +1,6 @@
 """The registry of queries over the test tables and their SQL."""
 
-from agendum.plans import relational, texts
+from agendum.plans import relational, streams, texts
 
-QUERIES = {**relational.QUERIES, **texts.QUERIES}
-SQL = {**relational.SQL, **texts.SQL}
+QUERIES = {**relational.QUERIES, **texts.QUERIES, **streams.QUERIES}
+SQL = {**relational.SQL, **texts.SQL, **streams.SQL}
