@@ -63,7 +63,8 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.translate(F.col(t), BLANKS, "")), "n_symbols": F.length(t) - F.length(F.translate(F.col(t), SYMBOLS, "")),
     })
     df = df.withColumn("n_repeat_words", _repeated_words(F.col(w), F.col("n_words")))
-    return df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(c).cast("long").alias(c) for c in COUNTS])
+    # A generated row: filters on counts stay behind it, else Spark would work the counts out again in a filter on the texts.
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[F.col(c).cast("long").alias(c) for c in COUNTS]))))
 
 
 #: What rules look at, as expressions over COUNTS; among equal tests the earlier counts, so that mere length comes last.
