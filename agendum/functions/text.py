@@ -164,8 +164,8 @@ def dates_incompatible(s1: Column, e1: Column, s2: Column, e2: Column, days: int
 
 
 def consonants(c: Column) -> Column:
-    """The consonants of the folded word, repeats made single: near spellings in two languages share them."""
-    return F.regexp_replace(F.regexp_replace(fold(c), "[^b-df-hj-np-tv-xz]", ""), r"(.)\1+", "$1")
+    """The consonants of the folded word, c, k and q alike, repeats made single: near spellings in two languages share them."""
+    return F.regexp_replace(F.regexp_replace(F.translate(fold(c), "qk", "cc"), "[^b-df-hj-np-tv-xz]", ""), r"(.)\1+", "$1")
 
 
 def same_root(a: Column, b: Column) -> Column:
