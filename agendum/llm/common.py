@@ -20,7 +20,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The same lower-casing for Python strings.
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 2000
+
 _shipped: dict[str, str] = {}
+_paths: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +53,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: it survives lost executors and cuts the lineage."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _paths.append(path)
     release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes what stored() has written in this process; for callers that are done with all results."""
+    for path in _paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _paths.clear()
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of plans that are done; it acts when the driver's JVM collects garbage."""
     gc.collect()
@@ -60,7 +73,10 @@ def release(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's files to the executors, once for each application."""
+    """Sends this package's files to the executors, once for each application, and makes Arrow batches small: a row holds a whole text."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= BATCH_ROWS:
+        spark.conf.set(size, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -87,7 +103,7 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def slices(texts: list[str | None], chars: int = 1_000_000):
+def slices(texts: list[str | None], chars: int = 500_000):
     """Ranges of texts of about so many characters, one text at least."""
     a = size = 0
     for b, t in enumerate(texts):

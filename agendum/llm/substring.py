@@ -5,7 +5,7 @@ D holds a pair for every difference, so within the first v words of both copies
 a cover position in both. Anchors are the hashes of L - v + 1 words at cover positions only. Where an anchor
 stands in two places, the windows that it may belong to are hashed whole and counted; no pairs are made, so a
 passage in very many documents costs its length in each. Before each shuffle a task merges the equal hashes of
-a batch into one row, so that the commonest passage sends a row for each batch, not for each place.
+half a million places into one row, so that the commonest passage sends few rows from each task.
 """
 
 from __future__ import annotations
@@ -37,16 +37,30 @@ def _rows(hashes: list[np.ndarray], k1: np.ndarray, k2: np.ndarray, pos: np.ndar
         new[1:] = np.any([h[1:] != h[:-1] for h in hashes], axis=0)
     group = np.cumsum(new) - 1
     many = np.bincount(group)[group] > 1 if len(order) else new
-    columns = [*(pa.array(h, mask=~new) for h in hashes), pa.array(many), pa.array(k1[order]), pa.array(k2[order]), pa.array(pos[order].astype(np.int32))]
+    columns = [*(pa.array(h, mask=~new) for h in hashes), pa.array(many), pa.array(k1[order]), pa.array(k2[order]), pa.array(pos[order])]
     return pa.RecordBatch.from_arrays(columns, names=[*(f"h{i}" for i in range(len(hashes))), "many", "k1", "k2", "pos"])
 
 
+def _combined(found, rows: int = 500_000):
+    """Rows of about so many places at a time; found: tuples of hashes, k1, k2 and places."""
+    held, size = [], 0
+    for part in found:
+        held.append(part)
+        size += len(part[0])
+        if size >= rows:
+            *hashes, k1, k2, pos = map(np.concatenate, zip(*held, strict=True))
+            yield _rows(hashes, k1, k2, pos)
+            held, size = [], 0
+    if held:
+        *hashes, k1, k2, pos = map(np.concatenate, zip(*held, strict=True))
+        yield _rows(hashes, k1, k2, pos)
+
+
 def _shared(places: DataFrame, name: str) -> DataFrame:
     """For each text key the sorted places whose hash stands in another place too."""
     hashes = [c for c in places.columns if c[0] == "h"]
     same = Window.partitionBy(*hashes)
     sent = places.filter(F.col("h0").isNotNull()).withColumn("n", F.count(F.lit(1)).over(same)).withColumn("any", F.max("many").over(same))
-    # The further places of a batch count once here and once with the row that stands for them, so both branches read one input.
     found = sent.filter("n > 1 or any").select("k1", "k2", "pos").unionByName(places.filter(F.col("h0").isNull()).select("k1", "k2", "pos"))
     return common.stored(found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("places")), name)
 
@@ -72,30 +86,28 @@ def shared_windows(docs: DataFrame, text: str, width: int, period: int) -> tuple
     short = width - period + 1
 
     def anchors(batches):
-        for batch in batches:
-            k1, k2, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            found = []
-            for a, b in common.slices(texts, 2_000_000):
-                words = Words(texts[a:b])
-                of, pos = words.positions()
-                at = np.flatnonzero(cover[pos % period] & (pos + short <= words.counts()[of]) & (words.counts()[of] >= width))
-                found.append((words.runs(at, short), of[at] + a, pos[at]))
-            if found:
-                h, of, pos = map(np.concatenate, zip(*found, strict=True))
-                yield _rows([h], k1[of], k2[of], pos)
+        def found():
+            for batch in batches:
+                k1, k2, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+                for a, b in common.slices(texts):
+                    words = Words(texts[a:b])
+                    of, pos = words.positions()
+                    at = np.flatnonzero(cover[pos % period] & (pos + short <= words.counts()[of]) & (words.counts()[of] >= width))
+                    yield words.runs(at, short), k1[of[at] + a], k2[of[at] + a], pos[at].astype(np.int32)
+
+        yield from _combined(found())
 
     def windows(batches):
-        for batch in batches:
-            k1, k2, texts, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            found = []
-            for a, b in common.slices(texts, 2_000_000):
-                words = Words(texts[a:b])
-                at = np.flatnonzero(_flat(words, places[a:b], period - 1, 0, words.counts() - width))
-                of, pos = words.positions()
-                found.append((words.runs(at, width), words.runs(at, width, RUN2), of[at] + a, pos[at]))
-            if found:
-                h, h2, of, pos = map(np.concatenate, zip(*found, strict=True))
-                yield _rows([h, h2], k1[of], k2[of], pos)
+        def found():
+            for batch in batches:
+                k1, k2, texts, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                for a, b in common.slices(texts):
+                    words = Words(texts[a:b])
+                    at = np.flatnonzero(_flat(words, places[a:b], period - 1, 0, words.counts() - width))
+                    of, pos = words.positions()
+                    yield words.runs(at, width), words.runs(at, width, RUN2), k1[of[at] + a], k2[of[at] + a], pos[at].astype(np.int32)
+
+        yield from _combined(found())
 
     rest = "many boolean, k1 long, k2 int, pos int"
     keyed = docs.select("k1", "k2", F.col(f"`{text}`").alias("t"))
@@ -133,7 +145,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, period:
         for batch in batches:
             texts, places = batch.column(column).to_pylist(), batch.column(len(own)).to_pylist()
             out, n_words, n_removed = [], [], []
-            for a, b in common.slices(texts, 2_000_000):
+            for a, b in common.slices(texts):
                 words = Words(texts[a:b])
                 gone = _flat(words, places[a:b], 0, width - 1, words.counts() - 1)
                 n_words.append(words.counts())

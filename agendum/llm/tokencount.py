@@ -174,7 +174,7 @@ class WordTransducer:
 class Counter(dict):
     """Token counts of texts for one vocabulary file; counts of at most max_words words and max_states states are kept."""
 
-    def __init__(self, path: str, max_words: int = 400_000, max_states: int = 400_000):
+    def __init__(self, path: str, max_words: int = 300_000, max_states: int = 300_000):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
@@ -251,7 +251,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
     def count(batches):
         for batch in batches:
             texts = batch.column(kept.index(text)).to_pylist()
-            total = np.concatenate([np.zeros(0, np.int64), *(counter(tokenizer).counts(texts[a:b]) for a, b in common.slices(texts, 2_000_000))])
+            total = np.concatenate([np.zeros(0, np.int64), *(counter(tokenizer).counts(texts[a:b]) for a, b in common.slices(texts, 1_000_000))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], names=[*batch.schema.names, "n_tokens"])
 
     out = docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(count, schema)

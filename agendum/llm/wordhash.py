@@ -20,7 +20,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n at least."""
     known = _powers.get(base)
     if known is None or len(known[0]) < n:
-        size = max(1024, 2 * n)
+        size = max(1 << 16, n + n // 8)
         up, down = np.full(size, U(base)), np.full(size, U(pow(base, -1, 1 << 64)))
         up[0] = down[0] = 1
         known = _powers[base] = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
