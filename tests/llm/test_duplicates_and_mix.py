@@ -168,6 +168,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     texts = good + [good[0], good[1] + " more"] + junk + [f"{' '.join(words(50, 2000 + n))} {passage}" for n in range(3)]
     rows = [(n, t, "en", f"src{min(2, n % 9)}", len(t)) for n, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.selectExpr("*", "concat('k', doc_id) as kept", "doc_id as N_WORDS", "doc_id + 1 as mix_epoch")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(n, int(not 62 <= n < 87), 0) for n in range(len(texts)) if n % 4 != 3]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -181,6 +182,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     cut = {r.doc_id: r for r in seen[2].collect()}
     assert all(passage not in cut[n].text and cut[n].n_chars == len(cut[n].text) for n in (87, 88, 89)) and cut[5].text == good[5]
     assert all(d.columns == df.columns for d in seen[:4])
+    assert all((r.kept, r.N_WORDS, r.mix_epoch) == (f"k{r.doc_id}", r.doc_id, r.doc_id + 1) for d in seen[:4] for r in d.collect())
     assert {r.doc_id for r in seen[3].collect()} == set(cut)
     bins = Counter()
     for r in seen[4].collect():
