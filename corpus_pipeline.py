@@ -9,24 +9,38 @@ from agendum.llm import common, mixing, ngramjoin, packing, quality, substring
 from agendum.llm.tokens import vocabulary
 
 
+#: The columns that operators read; all others travel in one struct, so that no operator's column can clash with theirs.
+READ = ("doc_id", "source", "text")
+
+
+def held(docs: DataFrame) -> DataFrame:
+    return docs.select(*READ, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in READ]).alias("others"))
+
+
+def opened(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, in their order."""
+    return df.select(*[F.col(c) if c in READ else F.col("others")[c].alias(c) for c in docs.columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned list keep."""
-    return quality.judge(docs, common.table(spark, sf_dir, "labels")).filter("kept").select(docs.columns)
+    return opened(quality.judge(held(docs), common.table(spark, sf_dir, "labels")).filter("kept"), docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    return ngramjoin.keep_one(docs).select(docs.columns)
+    return ngramjoin.keep_one(docs)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 35 words and more that stand in two places; n_chars is that of what is left."""
-    return substring.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    cut = opened(substring.remove_repeats(held(docs)), docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once at least, those of small sources up to twice, as the target entropy asks."""
-    return mixing.mix(docs).select(docs.columns)
+    return opened(mixing.mix(held(docs)), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
