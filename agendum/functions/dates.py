@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from agendum.functions.text import fold
+from agendum.functions.text import fold, let
 
 #: Fixed names of months, folded; French, then Italian.
 MONTHS = {
@@ -49,13 +49,8 @@ def _int(text: Column, pattern: str, n: int) -> Column:
 
 def implied_year(month: Column, day: Column, as_of: Column) -> Column:
     """The reference year, or the next where that day is over for more than the grace."""
-    this = day_of(F.year(as_of), month, day)
-    return F.when(F.datediff(as_of, this) > GRACE, F.year(as_of) + 1).otherwise(F.year(as_of))
-
-
-def _refused(as_of: Column, day: Column, guessed: Column) -> Column:
-    """A guessed year that lands too far ahead is a result of its own, not a date."""
-    return guessed & (F.year(day) > F.year(as_of)) & (F.datediff(day, as_of) > FAR)
+    past = F.datediff(as_of, day_of(F.year(as_of), month, day)) > GRACE
+    return F.year(as_of) + F.when(past, 1).otherwise(0)
 
 
 def named_weekdays(text: Column) -> Column:
@@ -72,47 +67,80 @@ def parse_dates(text: Column, as_of: Column) -> Column:
     source is 'annee_devinee_lointaine' without dates. A single day that contradicts the weekday named beside it gives
     'jour_incoherent' without dates. A rule that matches an invalid date leaves it to the next.
     """
-    t = F.trim(F.regexp_replace(fold(text), "[\\s’]+", " "))
-    t = F.replace(t, F.lit("jusqu au"), F.lit("jusqu'au"))
-    none = F.lit(None).cast("date")
-    iso = F.filter(F.transform(F.regexp_extract_all(t, F.lit(ISO), 1), lambda x: F.try_to_date(x, "yyyy-MM-dd")), lambda d: d.isNotNull())
-    rules = [F.when(F.size(iso) > 0, F.struct(F.array_min(iso).alias("start"), F.array_max(iso).alias("end"), F.lit("iso").alias("source")))]
-
-    far = F.struct(none.alias("start"), none.alias("end"), F.lit("annee_devinee_lointaine").alias("source"))
-
-    def rule(start: Column, end: Column, guessed: Column, source: str) -> Column:
-        found = F.when(_refused(as_of, F.coalesce(start, end), guessed), far).otherwise(F.struct(start.alias("start"), end.alias("end"), F.lit(source).alias("source")))
-        return F.when(end.isNotNull(), found)
-
-    m, y = month_number(_group(t, SAME_MONTH, 3)), _int(t, SAME_MONTH, 4)
-    d1, d2 = _int(t, SAME_MONTH, 1), _int(t, SAME_MONTH, 2)
-    year = F.coalesce(y, implied_year(m, d2, as_of))
-    s, e = day_of(year, m, d1), day_of(year, m, d2)
-    rules.append(F.when(s.isNotNull() & (s <= e), rule(s, e, y.isNull(), "plage")))
-
-    m1, m2, y1, y2 = month_number(_group(t, TWO_MONTHS, 2)), month_number(_group(t, TWO_MONTHS, 5)), _int(t, TWO_MONTHS, 3), _int(t, TWO_MONTHS, 6)
-    a, b = _int(t, TWO_MONTHS, 1), _int(t, TWO_MONTHS, 4)
-    last = F.coalesce(y2, F.when(y1.isNotNull(), y1 + F.when(m2 < m1, 1).otherwise(0)), implied_year(m2, b, as_of))
-    first = F.coalesce(y1, last - F.when(m2 < m1, 1).otherwise(0))
-    s, e = day_of(first, m1, a), day_of(last, m2, b)
-    rules.append(F.when(s.isNotNull() & (s <= e), rule(s, e, y1.isNull() & y2.isNull(), "plage")))
-
-    m, y, d = month_number(_group(t, UNTIL, 2)), _int(t, UNTIL, 3), _int(t, UNTIL, 1)
-    e = day_of(F.coalesce(y, implied_year(m, d, as_of)), m, d)
-    rules.append(rule(none, e, y.isNull(), "jusqu_au"))
-
-    m, y, d = month_number(_group(t, SINGLE, 2)), _int(t, SINGLE, 3), _int(t, SINGLE, 1)
-    e = day_of(F.coalesce(y, implied_year(m, d, as_of)), m, d)
-    rules.append(rule(e, e, y.isNull(), "date"))
-
-    e = day_of(_int(t, NUMERIC, 3), _int(t, NUMERIC, 2), _int(t, NUMERIC, 1))
-    rules.append(rule(e, e, F.lit(False), "numerique"))
-
-    found = F.coalesce(*rules)
-    named = named_weekdays(text)
-    veto = (F.size(named) == 1) & found["start"].isNotNull() & (found["start"] == found["end"]) & ~F.array_contains(named, F.weekday(found["start"]))
-    refused = F.struct(none.alias("start"), none.alias("end"), F.lit("jour_incoherent").alias("source"))
-    return F.when(veto, refused).otherwise(found)
+    t = F.replace(F.trim(F.regexp_replace(fold(text), "[\\s’]+", " ")), F.lit("jusqu au"), F.lit("jusqu'au"))
+    found = let(t, lambda t: F.coalesce(*[rule(t, as_of) for rule in (_iso, _same_month, _two_months, _until, _single, _numeric)]))
+
+    def checked(f: Column) -> Column:
+        alone = f["start"].isNotNull() & (f["start"] == f["end"])
+        contrary = let(F.when(alone, named_weekdays(text)), lambda named: (F.size(named) == 1) & ~F.array_contains(named, F.weekday(f["start"])))
+        return F.when(alone & contrary, _result(None, None, "jour_incoherent")).otherwise(f)
+
+    return let(found, checked)
+
+
+def _result(start: Column | None, end: Column | None, source: str) -> Column:
+    day = lambda d: F.lit(None).cast("date") if d is None else d
+    return F.struct(day(start).alias("start"), day(end).alias("end"), F.lit(source).alias("source"))
+
+
+def _found(start: Column | None, end: Column, guessed: Column, source: str, as_of: Column) -> Column:
+    """A rule's result: null without valid days; a guessed year that lands too far ahead is a result of its own."""
+    days = F.struct((F.lit(None).cast("date") if start is None else start).alias("s"), end.alias("e"), guessed.alias("g"))
+
+    def made(d: Column) -> Column:
+        first = F.coalesce(d["s"], d["e"])
+        valid = d["e"].isNotNull() & (d["s"] <= d["e"] if start is not None else F.lit(True))
+        far = d["g"] & (F.year(first) > F.year(as_of)) & (F.datediff(first, as_of) > FAR)
+        return F.when(valid & far, _result(None, None, "annee_devinee_lointaine")).when(valid, _result(None if start is None else d["s"], d["e"], source))
+
+    return let(days, made)
+
+
+def _parts(t: Column, pattern: str, fields: list[tuple[str, int]], body) -> Column:
+    """body of a struct with the pattern's groups: months by name as numbers, the rest as integers; null where it does not match."""
+    read = lambda kind, n: (month_number(_group(t, pattern, n)) if kind[0] == "m" else _int(t, pattern, n)).alias(kind)
+    return F.when(t.rlike(pattern), let(F.struct(*[read(k, n) for k, n in fields]), body))
+
+
+def _iso(t: Column, as_of: Column) -> Column:
+    days = F.filter(F.transform(F.regexp_extract_all(t, F.lit(ISO), 1), lambda x: F.try_to_date(x, "yyyy-MM-dd")), lambda d: d.isNotNull())
+    return F.when(t.rlike(ISO), let(days, lambda d: F.when(F.size(d) > 0, _result(F.array_min(d), F.array_max(d), "iso"))))
+
+
+def _same_month(t: Column, as_of: Column) -> Column:
+    def body(p: Column) -> Column:
+        year = F.coalesce(p["y"], implied_year(p["m"], p["d2"], as_of))
+        return let(year, lambda y: _found(day_of(y, p["m"], p["d1"]), day_of(y, p["m"], p["d2"]), p["y"].isNull(), "plage", as_of))
+
+    return _parts(t, SAME_MONTH, [("d1", 1), ("d2", 2), ("m", 3), ("y", 4)], body)
+
+
+def _two_months(t: Column, as_of: Column) -> Column:
+    def body(p: Column) -> Column:
+        wraps = F.when(p["m2"] < p["m1"], 1).otherwise(0)
+        last = F.coalesce(p["y2"], p["y1"] + wraps, implied_year(p["m2"], p["d2"], as_of))
+        return let(last, lambda y: _found(day_of(F.coalesce(p["y1"], y - wraps), p["m1"], p["d1"]), day_of(y, p["m2"], p["d2"]), p["y1"].isNull() & p["y2"].isNull(), "plage", as_of))
+
+    return _parts(t, TWO_MONTHS, [("d1", 1), ("m1", 2), ("y1", 3), ("d2", 4), ("m2", 5), ("y2", 6)], body)
+
+
+def _one_day(pattern: str, source: str, with_start: bool):
+    def rule(t: Column, as_of: Column) -> Column:
+        def body(p: Column) -> Column:
+            day = day_of(F.coalesce(p["y"], implied_year(p["m"], p["d"], as_of)), p["m"], p["d"])
+            return let(day, lambda d: _found(d if with_start else None, d, p["y"].isNull(), source, as_of))
+
+        return _parts(t, pattern, [("d", 1), ("m", 2), ("y", 3)], body)
+
+    return rule
+
+
+_until, _single = _one_day(UNTIL, "jusqu_au", False), _one_day(SINGLE, "date", True)
+
+
+def _numeric(t: Column, as_of: Column) -> Column:
+    day = day_of(_int(t, NUMERIC, 3), _int(t, NUMERIC, 2), _int(t, NUMERIC, 1))
+    return F.when(t.rlike(NUMERIC), let(day, lambda d: _found(d, d, F.lit(False), "numerique", as_of)))
 
 
 def start_time(text: Column) -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _folding() -> tuple[str, str]:
     """Every letter of Latin-1 and the Latin extensions whose decomposition begins with an ASCII letter, and that letter."""
     pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250))]
