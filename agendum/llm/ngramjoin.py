@@ -53,7 +53,7 @@ class Sketcher:
     def shingles(self, texts: list[str | None]) -> list[np.ndarray]:
         """Sorted distinct hashes of width terms each; of all terms in a text of fewer; none without terms."""
         out = []
-        for a, b in common.slices(texts, 2_000_000):
+        for a, b in common.slices(texts):
             words = Words(texts[a:b], TERMS, lower=True)
             n = words.counts()
             of, pos = words.positions()
@@ -179,21 +179,24 @@ def similar_documents(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(values, pa.binary())], names=["id", "text_key", "class", "values"])
 
     slim = common.stored(source.mapInArrow(sketches, "id long, text_key string, class binary, values binary"), "sketches")
-    classes = common.stored(slim.filter("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"), F.min("text_key").alias("text_key"), F.first("values").alias("values")), "classes")
+    row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("row")
+    classes = slim.filter("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"), row, F.first("values").alias("values"))
+    classes = common.stored(classes.withColumn("no", F.monotonically_increasing_id()), "classes")  # numbers stay as they are once written
 
     # Bands: neighbours are all that agree with the smallest class of a bucket; a star links as well as all pairs.
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substr("values", i * (2 * rows) + 1, F.lit(2 * rows)))))
-    buckets = classes.select("class", band.alias("band", "hash"))
+    buckets = classes.select(F.col("no").alias("class"), band.alias("band", "hash"))
     firsts = buckets.groupBy("band", "hash").agg(F.min("class").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     candidates = components(buckets.join(firsts, ["band", "hash"]).select(F.col("class").alias("a"), "b"), "candidates")
 
     # Groups of one block are dealt out many together, larger ones by pairs of blocks.
     sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = candidates.join(sizes, "root").join(classes.withColumnRenamed("class", "node"), "node")
-    members = common.stored(members.select(F.col("root").alias("component"), F.col("node").alias("class"), "size", "copies", "text_key", "values"), "members")
+    members = candidates.join(sizes, "root").join(classes.select(F.col("no").alias("node"), "copies", "row", "values"), "node")
+    members = common.stored(members.select(F.col("root").alias("component"), F.col("node").alias("class"), "size", "copies", "row", "values"), "members")
     bundles = max(1, members.count() // 500)
-    texts = source.select("text_key", "text").join(members.hint("shuffle_hash"), "text_key")
-    texts = texts.dropDuplicates(["text_key"])
+    # One row's text for each class, asked for by key and text: copies are dealt out by their keys.
+    asked = (F.col("text_key") == F.col("row.text_key")) & F.col("id").eqNullSafe(F.col("row.id"))
+    texts = source.join(members.hint("shuffle_hash"), asked).dropDuplicates(["class"])
     blocks = F.ceil(F.col("size") / block).cast("int")
     texts = texts.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     texts = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -201,13 +204,13 @@ def similar_documents(
         "component", "class", "copies", "values", "text", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(F.xxhash64("component")).alias("bundle"), (F.col("blocks") == 1).alias("whole"),
     )
-    found = dealt.groupBy("whole", "bundle", "low", "high").applyInPandas(lambda g: link_counts(g, sketch, threshold, least), "class binary, links long, other binary")
+    found = dealt.groupBy("whole", "bundle", "low", "high").applyInPandas(lambda g: link_counts(g, sketch, threshold, least), "class long, links long, other long")
     found = common.stored(found, "links")
 
     groups = components(found.select(F.col("class").alias("a"), F.col("other").alias("b")), "groups")
-    linked = classes.select("class", "copies", "least_id")
-    linked = linked.join(found.groupBy("class").agg(F.sum("links").alias("links")), "class", "left").join(groups.withColumnRenamed("node", "class"), "class", "left")
-    linked = linked.withColumn("root", F.coalesce("root", "class"))
+    linked = classes.select("class", "no", "copies", "least_id")
+    linked = linked.join(found.groupBy(F.col("class").alias("no")).agg(F.sum("links").alias("links")), "no", "left").join(groups.withColumnRenamed("node", "no"), "no", "left")
+    linked = linked.withColumn("root", F.coalesce("root", "no"))
     ids = linked.groupBy("root").agg(F.min("least_id").alias("class_id"))
     linked = common.stored(linked.join(ids, "root").select("class", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "root"), "classes")
 
@@ -222,9 +225,12 @@ def similar_documents(
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one row of each group of similar_documents; rows without terms all stay; the columns are those of docs."""
     found = similar_documents(docs, key, text, **options)
-    mark, name = common.fresh(docs, "text_key"), common.fresh(docs, "group_key")
+    mark, name, rows = (common.fresh(docs, c) for c in ("text_key", "group_key", "group_rows"))
     value = F.col(f"`{text}`").cast("string")
-    chosen = common.stored(found.filter(F.col("first") & F.col("has_terms")).select(F.col(key).alias(name), F.col("text_key").alias(mark)).distinct(), "chosen")
+    best = found.filter(F.col("first") & F.col("has_terms")).groupBy(F.col("text_key").alias(mark), F.col(key).alias(name)).agg(F.count(F.lit(1)).alias(rows))
+    chosen = common.stored(best, "chosen")
     worded = docs.filter(has_terms(value)).withColumn(mark, F.md5(F.coalesce(value, F.lit(""))))
-    kept = worded.join(chosen.hint("shuffle_hash"), mark).filter(F.col(f"`{key}`").cast("long").eqNullSafe(F.col(name)))
-    return kept.dropDuplicates([mark]).drop(mark, name).unionByName(docs.filter(~has_terms(value)))
+    same = (worded[mark] == chosen[mark]) & worded[key].cast("long").eqNullSafe(chosen[name])
+    kept = worded.join(chosen.hint("shuffle_hash"), same).drop(chosen[mark])
+    once = kept.filter(F.col(rows) == 1).unionByName(kept.filter(F.col(rows) > 1).dropDuplicates([mark]))
+    return once.select(docs.columns).unionByName(docs.filter(~has_terms(value)))

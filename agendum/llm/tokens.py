@@ -82,7 +82,7 @@ class Pieces:
     beyond ASCII, goes to the library whole.
     """
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_pieces: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -91,21 +91,37 @@ class Pieces:
         same = lambda a, b: self.library([a]) == self.library([b])
         self.keep_space, self.lower = not same("a a", "a  a"), same("a", "A")
         self.max_pieces, self.turn = max_pieces, 0
-        self.number: dict[int, int] = {}
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash; those of the last batches are in recent
+        self.recent: dict[int, int] = {}
         self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def forget(self) -> None:
-        """Keeps the half of the pieces that were used last."""
-        kept = np.sort(np.argsort(self.used, kind="stable")[len(self.used) // 2 :])
-        hashes = np.fromiter(self.number, np.uint64, len(self.number))[kept]
-        self.number = dict(zip(hashes.tolist(), range(len(kept)), strict=True))
-        sizes = self.size[kept]
-        self.pool = self.gather(kept)
-        self.start, self.size, self.used = np.cumsum(sizes) - sizes, sizes, self.used[kept]
+    def settle(self) -> None:
+        """Moves recent pieces to the sorted arrays and, if there are too many, keeps the half that was used last."""
+        hashes = np.concatenate([self.hashes, np.fromiter(self.recent, np.uint64, len(self.recent))])
+        numbers = np.concatenate([self.numbers, np.fromiter(self.recent.values(), np.int64, len(self.recent))])
+        self.recent = {}
+        if len(numbers) > self.max_pieces:
+            late = np.argsort(self.used[numbers], kind="stable")[len(numbers) // 2 :]
+            hashes, numbers = hashes[late], numbers[late]
+            sizes = self.size[numbers]
+            self.pool, self.used = self.gather(numbers), self.used[numbers]
+            self.start, self.size, numbers = np.cumsum(sizes) - sizes, sizes, np.arange(len(numbers))
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], numbers[order]
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of pieces, -1 for new ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == hashes, self.numbers[at], -1)
+        rest = np.flatnonzero(out < 0)
+        out[rest] = [self.recent.get(h, -1) for h in hashes[rest].tolist()]
+        return out
 
     def gather(self, pieces: np.ndarray) -> np.ndarray:
         sizes = self.size[pieces]
@@ -122,15 +138,14 @@ class Pieces:
         starts, ends = split(data, self.keep_space)
         codes, hashes = pd.factorize(spans(data.astype(np.uint64), starts, ends, BYTE))
         self.turn += 1
-        known = [self.number.get(h, -1) for h in hashes.tolist()]
-        numbers = np.array(known, np.int64)
+        numbers = self.known(hashes)
         new = np.flatnonzero(numbers < 0)
         if len(new):
             at = np.empty(len(hashes), np.int64)
             at[codes[::-1]] = np.arange(len(codes))[::-1]  # where each piece stands first
             made = self.library([joined[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
-            numbers[new] = len(self.number) + np.arange(len(new))
-            self.number.update(zip(hashes[new].tolist(), numbers[new].tolist(), strict=True))
+            numbers[new] = len(self.size) + np.arange(len(new))
+            self.recent.update(zip(hashes[new].tolist(), numbers[new].tolist(), strict=True))
             sizes = np.array([len(m) for m in made], np.int64)
             self.start = np.append(self.start, len(self.pool) + np.cumsum(sizes) - sizes)
             self.size, self.used = np.append(self.size, sizes), np.append(self.used, np.zeros(len(new), np.int64))
@@ -141,8 +156,8 @@ class Pieces:
         begin = np.cumsum([0, *(len(r) + 1 for r in raw)])
         tokens = np.concatenate([[0], np.cumsum(self.size[pieces])])[np.searchsorted(starts, begin)]
         tokens = (4 * tokens).tolist()
-        if len(self.number) > self.max_pieces:
-            self.forget()
+        if len(self.recent) > 50_000 or len(self.size) > self.max_pieces:
+            self.settle()
         return [np.array(self.library([t])[0], "<u4").tobytes() if w else flat[tokens[n] : tokens[n + 1]] for n, (t, w) in enumerate(zip(texts, whole, strict=True))]
 
 
