@@ -1,6 +1,6 @@
 """The registry of queries over the test tables and their SQL."""
 
-from agendum.plans import jobs, relational, streams, texts
+from agendum.plans import editorial, jobs, relational, streams, texts
 
-QUERIES = {**relational.QUERIES, **texts.QUERIES, **jobs.QUERIES, **streams.QUERIES}
-SQL = {**relational.SQL, **texts.SQL, **jobs.SQL, **streams.SQL}
+QUERIES = {**relational.QUERIES, **texts.QUERIES, **jobs.QUERIES, **editorial.QUERIES, **streams.QUERIES}
+SQL = {**relational.SQL, **texts.SQL, **jobs.SQL, **editorial.SQL, **streams.SQL}
