@@ -165,6 +165,13 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.components(lines.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100_000_000).alias("b")).distinct())
 
 
+@query()
+def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of all lineitem edges; the recursive SQL holds every pair of a component's nodes, so tests close them by union-find."""
+    lines = table(spark, sf_dir, "lineitem")
+    return entities.components(lines.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100_000_000).alias("b")).distinct())
+
+
 @query("""
 WITH r AS (SELECT c_nationkey, c_custkey, c_name, c_mktsegment, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS balance,
   row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) AS k FROM customer)
