@@ -152,6 +152,16 @@ def title_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.token_pairs(parts, "id", F.split("p_name", " "), ["p_brand"], 2).withColumn("shared", F.col("shared").cast("long"))
 
 
+@query("""
+WITH t AS (SELECT p_partkey AS id, p_brand, list_distinct(string_split(p_name, ' ')) AS w FROM part)
+SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS shared FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 2
+""")
+def title_token_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of parts of every size."""
+    parts = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
+    return entities.token_pairs(parts, "id", F.split("p_name", " "), ["p_brand"], 2).withColumn("shared", F.col("shared").cast("long"))
+
+
 _EDGES = "SELECT DISTINCT l_partkey AS a, 100000000 + l_suppkey AS b FROM lineitem WHERE l_quantity > 49 AND l_suppkey % 5 = 0"
 
 

@@ -25,3 +25,12 @@ def test_components_of_all_edges(spark, tmp_path):
     want = closed((p, s + 100_000_000) for p, s, _ in rows)
     assert {r.node: r.root for r in plans.QUERIES["connected_components_all"](spark, str(tmp_path)).collect()} == want
     assert len(want) == len({p for p, *_ in rows}) + len({s for _, s, _ in rows}) and len(set(want.values())) > 3
+
+
+def test_title_pairs_of_parts_of_every_size(spark, tmp_path):
+    words = ["blue", "hot", "ring", "bolt", "large"]
+    rows = [(n, f"{words[n % 5]} {words[n * 3 % 4]} {words[n // 7 % 5]}", f"Brand#{n % 2}", n % 50 + 1) for n in range(80)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    shared = lambda a, b: len(set(a[1].split()) & set(b[1].split()))
+    want = {(a[0], b[0], shared(a, b)) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and shared(a, b) >= 2}
+    assert {tuple(r) for r in plans.QUERIES["title_token_pairs_all"](spark, str(tmp_path)).select("a", "b", "shared").collect()} == want
