@@ -33,6 +33,19 @@ def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.reachable(edges, spark.range(1, 2).withColumnRenamed("id", "node"))
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey * 7 % (SELECT max(o_custkey) + 1 FROM orders) AS b FROM orders),
+r AS (SELECT 1::BIGINT AS node UNION SELECT b FROM r JOIN e ON node = a)
+SELECT node FROM r
+""")
+def reachable_nodes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders make edges, from their customer to one of as many as there are keys."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    keys = orders.agg((F.max("o_custkey") + 1).alias("keys"))
+    edges = orders.join(F.broadcast(keys)).select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") * 7 % F.col("keys")).alias("b")).distinct()
+    return audits.reachable(edges, spark.range(1, 2).withColumnRenamed("id", "node"))
+
+
 @query("""
 SELECT l_shipdate::DATE AS day, l_returnflag, count(DISTINCT l_suppkey) AS personas, count(*) AS n, CASE WHEN count(DISTINCT l_suppkey) >= 3 THEN 'motif' ELSE 'isolated' END AS kind
 FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2

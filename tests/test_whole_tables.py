@@ -1,5 +1,7 @@
 """Queries over whole tables, against brute force on small fixtures."""
 
+import random
+
 from agendum import plans
 
 
@@ -34,3 +36,18 @@ def test_title_pairs_of_parts_of_every_size(spark, tmp_path):
     shared = lambda a, b: len(set(a[1].split()) & set(b[1].split()))
     want = {(a[0], b[0], shared(a, b)) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and shared(a, b) >= 2}
     assert {tuple(r) for r in plans.QUERIES["title_token_pairs_all"](spark, str(tmp_path)).select("a", "b", "shared").collect()} == want
+
+
+def test_reach_over_all_orders(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(n, rng.randint(1, 4000), 10.0) for n in range(9000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    keys, steps = max(c for _, c, _ in rows) + 1, {}
+    for o, c, _ in rows:
+        steps.setdefault(c, []).append(o * 7 % keys)
+    want, todo = {1}, [1]
+    while todo:
+        new = set(steps.get(todo.pop(), ())) - want
+        want |= new
+        todo += new
+    assert {r.node for r in plans.QUERIES["reachable_nodes_all"](spark, str(tmp_path)).collect()} == want and max(want) > 1500
