@@ -98,7 +98,7 @@ def mix(
     Within a source, rows ordered by mix_epoch, mix_block and mix_place are its permutation. An epoch takes every row
     once; the last takes rows in that order while all up to there fit in what is left of the budget, so budgets are
     never passed and missed by less than one row. Tokens are words. Null sources are one source; sources and rows
-    without tokens cost nothing, and a source without any is left out; equal rows take equal places and stay together;
+    without tokens cost nothing; a source without any is taken once, or left out where a budget is given; equal rows take equal places and stay together;
     columns of the added names are replaced; an empty table stays empty. Only a row for each source comes to the
     driver, max_sources at most (more raise ValueError).
     """
@@ -119,6 +119,8 @@ def mix(
         if t:
             epochs, rest = divmod(made.budgets[s], t)
             settings.append((s, epochs, rest, min(max_blocks, max(1, t // block_tokens))))
+        elif budget is None:
+            settings.append((s, 1, 0, 1))
     plans = spark.createDataFrame(settings, "source string, epochs long, rest long, blocks long")
 
     def placed(df: DataFrame, unit: Column, epoch: Column) -> dict[str, Column]:

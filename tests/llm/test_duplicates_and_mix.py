@@ -160,6 +160,13 @@ def test_mix_spends_its_budgets(spark, budget):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_sources_without_words_are_taken_once(spark):
+    rows = [(1, "a", "one two"), (2, "b", None), (3, "b", " "), (4, None, ""), (5, "a", "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert sorted(r.doc_id for r in mixing.mix(df).filter("mix_epoch = 0").collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.doc_id for r in mixing.mix(df.filter("doc_id in (2, 3, 4)")).collect()) == [2, 3, 4]
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     good = [" ".join(words(120, n)) for n in range(60)]
