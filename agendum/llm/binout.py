@@ -27,6 +27,8 @@ from agendum.llm.tokens import pieces
 
 #: Fixed values of the record frame.
 MASK_DELTA, NULL_KEY, WIDE = 0xA282EAD8, 1, 2
+#: Characters of a text that order equal keys; samples of them come to the driver when files are dealt.
+HEAD_CHARS = 64
 
 
 def masked(data) -> int:
@@ -64,8 +66,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
     """Writes each row's token ids, and end_id behind them, in ascending order of key under the URI path.
 
     One range partition of keys makes one data file and its index, so no task holds more than one record
-    and its file's offsets. Null keys come first, equal keys in the order of their texts; a null text counts
-    as empty; repeated rows each make a record; an empty table makes a manifest without files. Other columns
+    and its file's offsets. Null keys come first, equal keys in the order of their texts' first HEAD_CHARS
+    characters, then of their hashes, so that a key with many rows spreads over files; a null text counts as empty; repeated rows each make a record; an empty table makes a manifest without files. Other columns
     are not written. The path is a URI that driver and executors share.
     """
     spark = docs.sparkSession
@@ -99,7 +101,10 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
     fs, base = _open(path)
     fs.create_dir(base, recursive=True)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    dealt = rows.repartitionByRange(files, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())
+    head, mark = F.substring("t", 1, HEAD_CHARS), F.xxhash64("t")
+    order = [F.col("k").asc_nulls_first(), head.asc_nulls_first(), mark.asc()]
+    # The salt parts equal rows only, which may stand in any order.
+    dealt = rows.withColumn("salt", F.rand(0).cast("float")).repartitionByRange(files, *order, F.col("salt").asc()).sortWithinPartitions(*order, F.col("t").asc_nulls_first()).select("k", "t")
     done = dealt.mapInArrow(write, "part int, stem string, records long, tokens long, bytes long").collect()  # a row for each file
     start, listed = 0, []
     for r in sorted(done):

@@ -59,6 +59,18 @@ def test_state_maps_compose_for_any_chunk():
         assert (tokencount.starts_of_words(kinds, to, out, chunk) == whole).all()
 
 
+def test_a_key_of_many_rows_spreads_over_files(spark, tmp_path):
+    import json
+
+    rows = [(7, "same text")] * 900 + [(7, f"text {n}") for n in range(900)] + [(n, "x") for n in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = binout.write_records(df, f"file://{tmp_path}/h", vocabulary("byte_bpe_50k.json"), end_id=0, files=8)
+    files = json.loads((tmp_path / "h" / "manifest.json").read_text())["files"]
+    assert sum(f["records"] for f in files) == len(rows) and max(f["records"] for f in files) < 700
+    keys = [r.key for r in sorted(binout.read_records(spark, path).collect(), key=lambda r: r.start)]
+    assert keys == sorted(k for k, _ in rows)
+
+
 def test_records_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
