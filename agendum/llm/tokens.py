@@ -1,8 +1,9 @@
 """Token ids by the tokenizers library, asked once for each new piece of text.
 
 Both vocabularies split a text at white space, and between letters, digits and symbols, before they merge bytes, so
-the ids of a text are those of its pieces one after another. Pieces are found and told apart by hashes in numpy, for
-many texts at once; the library encodes those that are new, and the ids of the ones met lately are kept.
+the ids of a text are those of its pieces one after another. Pieces are found and looked up by hashes in numpy, for
+many texts at once, and their bytes are compared with those kept; the library encodes pieces that are new, and the
+ids of the ones met lately are kept.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 import numpy as np
 import pandas as pd
 
-from agendum.llm.wordhash import BYTE, spans
+from agendum.llm.wordhash import LOW, eights, word_hashes
 
 #: White space as the tokenizers' own patterns take it (the Unicode property White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -75,11 +76,41 @@ def split(data: np.ndarray, keep_space: bool) -> tuple[np.ndarray, np.ndarray]:
     return a[order], b[order]
 
 
+#: Bytes of a piece that is looked up; texts with longer ones go to the library.
+LONGEST = 1024
+#: A blank between two ASCII letters: both vocabularies part texts there whatever stands around.
+SEAM = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+
+
+def parts(text: str, chars: int = 4_000_000):
+    """The text in parts of about so many characters whose ids, one after another, are the text's."""
+    a = 0
+    while len(text) - a > chars and (seam := SEAM.search(text, a + chars)):
+        yield text[a : seam.start()]
+        a = seam.start()
+    yield text[a:] if a else text
+
+
+def spread(starts: np.ndarray, counts: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """starts[i], starts[i] + step, ... (counts[i] of them) for each i, and the number of each among those of its i."""
+    before = np.cumsum(counts) - counts
+    within = np.arange(int(counts.sum())) - np.repeat(before, counts)
+    return np.repeat(starts, counts) + step * within, within
+
+
+def contents(at: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of pieces, eight in a number, one piece after another."""
+    counts = (sizes + 7) // 8
+    places, within = spread(starts, counts, 8)
+    return at[places] & LOW[np.minimum(np.repeat(sizes, counts) - 8 * within, 8)]
+
+
 class Pieces:
     """Token ids of texts, as the library gives them for each whole text; ids of at most max_pieces pieces are kept.
 
-    Pieces are known by 64-bit hashes. A text that holds one of the tokenizer's special strings, or white space
-    beyond ASCII, goes to the library whole.
+    Pieces are looked up by 64-bit hashes and count as met only if their bytes are equal. A text that holds one of the
+    tokenizer's special strings, white space beyond ASCII, a piece of more than LONGEST bytes, or two pieces of one hash
+    goes to the library whole.
     """
 
     def __init__(self, path: str, max_pieces: int = 1_000_000):
@@ -93,8 +124,9 @@ class Pieces:
         self.max_pieces, self.turn = max_pieces, 0
         self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash; those of the last batches are in recent
         self.recent: dict[int, int] = {}
-        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.used = np.zeros(0, np.int64)
+        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)  # ids of each piece
+        self.byte_start, self.bytes, self.byte_pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)  # its bytes, eight in a number
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,9 +139,11 @@ class Pieces:
         if len(numbers) > self.max_pieces:
             late = np.argsort(self.used[numbers], kind="stable")[len(numbers) // 2 :]
             hashes, numbers = hashes[late], numbers[late]
-            sizes = self.size[numbers]
-            self.pool, self.used = self.gather(numbers), self.used[numbers]
-            self.start, self.size, numbers = np.cumsum(sizes) - sizes, sizes, np.arange(len(numbers))
+            sizes, eighths = self.size[numbers], (self.bytes[numbers] + 7) // 8
+            self.pool, self.byte_pool = self.gather(numbers), self.byte_pool[spread(self.byte_start[numbers], eighths)[0]]
+            self.used, self.bytes = self.used[numbers], self.bytes[numbers]
+            self.start, self.size, self.byte_start = np.cumsum(sizes) - sizes, sizes, np.cumsum(eighths) - eighths
+            numbers = np.arange(len(numbers))
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], numbers[order]
 
@@ -124,41 +158,80 @@ class Pieces:
         return out
 
     def gather(self, pieces: np.ndarray) -> np.ndarray:
-        sizes = self.size[pieces]
-        before = np.cumsum(sizes) - sizes
-        return self.pool[np.repeat(self.start[pieces] - before, sizes) + np.arange(sizes.sum())]
+        return self.pool[spread(self.start[pieces], self.size[pieces])[0]]
+
+    def differ(self, sizes: np.ndarray, others: np.ndarray, values, of_others) -> np.ndarray:
+        """Which of some pieces are not, byte for byte, the others they are paired with; values and of_others give contents."""
+        out = sizes != others
+        same = np.flatnonzero(~out & (sizes > 7))  # up to seven bytes, equal hashes are equal words
+        if len(same):
+            eighths = (sizes[same] + 7) // 8
+            out[same] = np.add.reduceat(values(same) != of_others(same), np.cumsum(eighths) - eighths, dtype=np.int64) > 0
+        return out
+
+    def add(self, data: bytes, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of new pieces, encoded by the library."""
+        made = self.library([data[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        numbers = len(self.size) + np.arange(len(starts))
+        self.recent.update(zip(hashes.tolist(), numbers.tolist(), strict=True))
+        sizes, eighths = np.array([len(m) for m in made], np.int64), (ends - starts + 7) // 8
+        self.start = np.append(self.start, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.byte_start = np.append(self.byte_start, len(self.byte_pool) + np.cumsum(eighths) - eighths)
+        self.size, self.bytes = np.append(self.size, sizes), np.append(self.bytes, ends - starts)
+        self.used = np.append(self.used, np.zeros(len(starts), np.int64))
+        self.pool = np.append(self.pool, np.array([i for m in made for i in m], np.uint32))
+        self.byte_pool = np.append(self.byte_pool, contents(at, starts, ends - starts))
+        return numbers
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit unsigned integers; none for null and empty texts."""
-        whole = [bool(t) and (any(s in t for s in self.special) or not t.isascii() and FAR_SPACE.search(t) is not None) for t in texts]
-        raw = [b"" if w or not t else t.encode("utf-8") for t, w in zip(texts, whole, strict=True)]
-        joined = b"\xff".join(raw)
-        joined = joined.lower() if self.lower else joined
-        data = np.frombuffer(joined, np.uint8)
-        starts, ends = split(data, self.keep_space)
-        codes, hashes = pd.factorize(spans(data.astype(np.uint64), starts, ends, BYTE))
+        """Each text's ids as little-endian 32-bit unsigned integers; none for null and empty texts. Very long texts are
+        worked on in parts, so memory is bounded but for the text and its ids."""
+        cut = [list(parts(t or "")) for t in texts]
+        flat = self._ids([p for ps in cut for p in ps])
+        if len(flat) == len(texts):
+            return flat
+        ends = np.cumsum([len(ps) for ps in cut]).tolist()
+        return [b"".join(flat[b - len(ps) : b]) for ps, b in zip(cut, ends, strict=True)]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        whole = np.array([any(s in t for s in self.special) or not t.isascii() and FAR_SPACE.search(t) is not None for t in texts], bool)
+        while True:
+            raw = [b"" if w else t.encode("utf-8") for t, w in zip(texts, whole.tolist(), strict=True)]
+            joined = b"\xff".join(raw)
+            joined = joined.lower() if self.lower else joined
+            starts, ends = split(np.frombuffer(joined, np.uint8), self.keep_space)
+            begin = np.cumsum([0, *(len(r) + 1 for r in raw)])
+            long = np.flatnonzero(ends - starts > LONGEST)
+            if not len(long):
+                break
+            whole[np.searchsorted(begin, starts[long], "right") - 1] = True
+        hashes, at, sizes = word_hashes(joined, starts, ends), eights(joined), ends - starts
+        codes, hashes = pd.factorize(hashes)
         self.turn += 1
+        first = np.empty(len(hashes), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]  # where each piece stands first
         numbers = self.known(hashes)
+        met = np.flatnonzero(numbers >= 0)
+        clash = np.zeros(len(hashes), bool)
+        kept, mine = numbers[met], first[met]
+        of_kept = lambda i: self.byte_pool[spread(self.byte_start[kept[i]], (self.bytes[kept[i]] + 7) // 8)[0]]
+        clash[met] = self.differ(sizes[mine], self.bytes[kept], lambda i: contents(at, starts[mine[i]], sizes[mine[i]]), of_kept)
+        model = first[codes]
+        here = lambda n: lambda i: contents(at, starts[n[i]], sizes[n[i]])
+        odd = clash[codes] | self.differ(sizes, sizes[model], here(np.arange(len(codes))), here(model))
+        if odd.any():
+            whole[np.searchsorted(begin, starts[odd], "right") - 1] = True
         new = np.flatnonzero(numbers < 0)
         if len(new):
-            at = np.empty(len(hashes), np.int64)
-            at[codes[::-1]] = np.arange(len(codes))[::-1]  # where each piece stands first
-            made = self.library([joined[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
-            numbers[new] = len(self.size) + np.arange(len(new))
-            self.recent.update(zip(hashes[new].tolist(), numbers[new].tolist(), strict=True))
-            sizes = np.array([len(m) for m in made], np.int64)
-            self.start = np.append(self.start, len(self.pool) + np.cumsum(sizes) - sizes)
-            self.size, self.used = np.append(self.size, sizes), np.append(self.used, np.zeros(len(new), np.int64))
-            self.pool = np.append(self.pool, np.array([i for m in made for i in m], np.uint32))
+            numbers[new] = self.add(joined, at, starts[first[new]], ends[first[new]], hashes[new])
         self.used[numbers] = self.turn
         pieces = numbers[codes]
         flat = self.gather(pieces).astype("<u4").tobytes()
-        begin = np.cumsum([0, *(len(r) + 1 for r in raw)])
         tokens = np.concatenate([[0], np.cumsum(self.size[pieces])])[np.searchsorted(starts, begin)]
         tokens = (4 * tokens).tolist()
         if len(self.recent) > 50_000 or len(self.size) > self.max_pieces:
             self.settle()
-        return [np.array(self.library([t])[0], "<u4").tobytes() if w else flat[tokens[n] : tokens[n + 1]] for n, (t, w) in enumerate(zip(texts, whole, strict=True))]
+        return [np.array(self.library([t])[0], "<u4").tobytes() if w else flat[tokens[n] : tokens[n + 1]] for n, (t, w) in enumerate(zip(texts, whole.tolist(), strict=True))]
 
 
 _open: dict[str, Pieces] = {}
