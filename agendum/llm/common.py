@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ ASCII_LOWER = str.maketrans(UPPER, LOWER)
 BATCH_ROWS = 2000
 
 _shipped: dict[str, str] = {}
-_paths: list[str] = []
+#: Folders in the shared folder by scope, the innermost last.
+_scopes: list[list[str]] = [[]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,39 +39,76 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a
+    temporary one; on a cluster that would be a folder of one machine, so ValueError is raised."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _shipped.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="agendum-"))
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder there, which the innermost scope deletes."""
+    _scopes[-1].append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: it survives lost executors and cuts the lineage."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    _paths.append(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(spark: SparkSession) -> None:
-    """Deletes what stored() has written in this process; for callers that are done with all results."""
-    for path in _paths:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    _paths.clear()
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of plans that are done; it acts when the driver's JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """df written once as Parquet in the shared folder and read back: it survives lost executors and cuts the lineage.
+
+    Spark removes the shuffle files of the write when it is done, as nothing reads them again.
+    """
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = shared_path(spark, name), spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope():
+    """Deletes at its end what was stored in it, but for what keep() was told; for callers that have consumed all of it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _delete(_scopes.pop())
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Leaves the newest stored folder, which df reads, to the scope outside."""
+    _scopes[-2].append(_scopes[-1].pop())
+    return df
+
+
+def drop_stored() -> None:
+    """Deletes all that was stored in this process outside of any scope; for callers that are done with all results."""
+    _delete(_scopes[0])
+    _scopes[0].clear()
+
+
+def _delete(paths: list[str]) -> None:
+    for path in paths:
+        system, base = fs.FileSystem.from_uri(path)
+        if system.get_file_info(base).type == fs.FileType.Directory:
+            system.delete_dir(base)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int, most: int = 10_000) -> DataFrame:
+    """left joined with right, which has one row for each key and the number n of left rows with it; rows: of left in all.
+
+    Keys of more than rows / most left rows (1,000 at least), so at most `most` of them, are broadcast; left rows of
+    these stay where they are and no task gets a hot key. The rest meet by a shuffle of keys with few rows each.
+    """
+    many = max(1000, rows // most)
+    hot, cold = F.broadcast(right.filter(F.col("n") > many).drop("n")), right.filter(F.col("n") <= many).drop("n")
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
 def ship(spark: SparkSession) -> None:

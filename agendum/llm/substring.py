@@ -2,21 +2,25 @@
 
 A window of L words that stands in two places shares an anchor: of the positions modulo the period v, the cover
 D holds a pair for every difference, so within the first v words of both copies there is an offset that falls on
-a cover position in both. Anchors are the hashes of L - v + 1 words at cover positions only. Where an anchor
-stands in two places, the windows that it may belong to are hashed whole and counted; no pairs are made, so a
-passage in very many documents costs its length in each. Before each shuffle a task merges the equal hashes of
-half a million places into one row, so that the commonest passage sends few rows from each task.
+a cover position in both. Anchors are the hashes of L - v + 1 words at cover positions only. A match extends an
+anchor: wherever one stands in two places, the windows that it may belong to are hashed whole and counted, which
+tells how far the match reaches on either side. No pairs are made, so a passage in very many documents costs its
+length in each.
+
+Hashes are counted with partial sums in each task, and places are joined with those that stand twice. Before the join a
+task merges the equal hashes of half a million places into one row, so the commonest passage of a corpus sends one row
+for each half million words of it, and the join's sort-merge plan lets AQE split what is left of a hot hash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agendum.llm import common
-from agendum.llm.wordhash import RUN, RUN2, Words
+from agendum.llm.wordhash import Words, mix
 
 #: Perfect difference sets: every difference modulo the period comes from one pair.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
@@ -29,16 +33,19 @@ def text_key(text: Column) -> list[Column]:
 
 
 def _rows(hashes: list[np.ndarray], k1: np.ndarray, k2: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Places with their hashes, one row for each hash; its further places go without the hash, as they are known to be shared."""
+    """Places with their hashes, the first of each hash with n, how often it stands here. Its further places are known to
+    be shared: they have n = 0, and a hash of their own in place of that one."""
     order = np.lexsort(hashes[::-1])
-    hashes = [h[order].view(np.int64) for h in hashes]
+    hashes, k1, k2, pos = [h[order] for h in hashes], k1[order], k2[order], pos[order]
     new = np.ones(len(order), bool)
     if len(order):
         new[1:] = np.any([h[1:] != h[:-1] for h in hashes], axis=0)
-    group = np.cumsum(new) - 1
-    many = np.bincount(group)[group] > 1 if len(order) else new
-    columns = [*(pa.array(h, mask=~new) for h in hashes), pa.array(many), pa.array(k1[order]), pa.array(k2[order]), pa.array(pos[order])]
-    return pa.RecordBatch.from_arrays(columns, names=[*(f"h{i}" for i in range(len(hashes))), "many", "k1", "k2", "pos"])
+    first = np.flatnonzero(new)
+    n = np.zeros(len(order), np.int32)
+    n[first] = np.diff(np.append(first, len(order)))
+    own = mix(k1.view(np.uint64) + pos.astype(np.uint64))
+    columns = [pa.array(np.where(new, h, own).view(np.int64)) for h in hashes]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(k1), pa.array(k2), pa.array(pos)], names=[*(f"h{i}" for i in range(len(hashes))), "n", "k1", "k2", "pos"])
 
 
 def _combined(found, rows: int = 500_000):
@@ -59,10 +66,11 @@ def _combined(found, rows: int = 500_000):
 def _shared(places: DataFrame, name: str) -> DataFrame:
     """For each text key the sorted places whose hash stands in another place too."""
     hashes = [c for c in places.columns if c[0] == "h"]
-    same = Window.partitionBy(*hashes)
-    sent = places.filter(F.col("h0").isNotNull()).withColumn("n", F.count(F.lit(1)).over(same)).withColumn("any", F.max("many").over(same))
-    found = sent.filter("n > 1 or any").select("k1", "k2", "pos").unionByName(places.filter(F.col("h0").isNull()).select("k1", "k2", "pos"))
-    return common.stored(found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("places")), name)
+    with common.scope():
+        often = places.filter("n > 0").groupBy(*hashes).agg(F.sum("n").alias("often")).filter("often > 1")
+        often = common.stored(often.select(*hashes, F.lit(True).alias("twice")), "often")
+        found = places.join(often.hint("merge"), hashes, "left").filter("n = 0 or twice")
+        return common.keep(common.stored(found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("places")), name))
 
 
 def _flat(words: Words, places: list, before: int, after: int, last: np.ndarray) -> np.ndarray:
@@ -105,14 +113,15 @@ def shared_windows(docs: DataFrame, text: str, width: int, period: int) -> tuple
                     words = Words(texts[a:b])
                     at = np.flatnonzero(_flat(words, places[a:b], period - 1, 0, words.counts() - width))
                     of, pos = words.positions()
-                    yield words.runs(at, width), words.runs(at, width, RUN2), k1[of[at] + a], k2[of[at] + a], pos[at].astype(np.int32)
+                    yield words.runs(at, width), words.runs(at, width, 1), k1[of[at] + a], k2[of[at] + a], pos[at].astype(np.int32)
 
         yield from _combined(found())
 
-    rest = "many boolean, k1 long, k2 int, pos int"
+    rest = "n int, k1 long, k2 int, pos int"
     keyed = docs.select("k1", "k2", F.col(f"`{text}`").alias("t"))
-    hits = _shared(keyed.mapInArrow(anchors, f"h0 long, {rest}"), "anchors")
-    marked = common.stored(docs.join(hits.hint("shuffle_hash"), ["k1", "k2"], "left"), "marked")
+    with common.scope():
+        hits = _shared(keyed.mapInArrow(anchors, f"h0 long, {rest}"), "anchors")
+        marked = common.keep(common.stored(docs.join(hits.hint("merge"), ["k1", "k2"], "left"), "marked"))
     near = marked.filter("places is not null").select("k1", "k2", F.col(f"`{text}`").alias("t"), "places")
     return marked, _shared(near.mapInArrow(windows, f"h0 long, h1 long, {rest}"), "windows")
 
@@ -124,7 +133,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, period:
     is shared if its word sequence starts at any other place of any row, the same row included. Windows are judged
     on the input. A null text has no words and becomes the empty text; texts shorter than a window keep all words;
     repeated rows share all their windows; columns named n_words and n_removed are replaced; an empty table stays
-    empty. Row order is not kept.
+    empty. Row order is not kept. A window stands as 128 bits (two independent hashes), a text as 96. A text is worked
+    on whole, in about 30 times its bytes of memory.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -135,7 +145,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, period:
     at = own[kept.index(text)]
     marked, starts = shared_windows(keyed, at, width, period)
     starts = starts.select("k1", "k2", F.col("places").alias("starts"))
-    touched = marked.filter("places is not null").drop("places").join(starts.hint("shuffle_hash"), ["k1", "k2"], "left")
+    touched = marked.filter("places is not null").drop("places").join(starts.hint("merge"), ["k1", "k2"], "left")
     rest = marked.filter("places is null").drop("places").withColumn("starts", F.lit(None).cast("array<int>"))
     rows = touched.unionByName(rest).select(*own, "starts")
     schema = rows.drop("starts").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
