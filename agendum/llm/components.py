@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from agendum.llm import common
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, count: int, large: bool) -> DataFrame:
     """large: links every larger neighbour of a node to its smallest neighbour; small: every smaller one, and the node."""
     if large:
-        edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = edges.join(least, "a")
+        edges, count = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * count
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
+    joined = common.join_hot(edges, least, "a", count)  # a star's centre has as many edges as its component
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -27,13 +27,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     Edges of any order and repeats are taken, loops and nulls dropped. The rounds end when no edge changes; as a
     star with its smallest node as centre stays as it is, what changes is told by a count and a sum of hashes.
     """
-    edges = common.stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = mark(edges)
-    while before[0]:
-        edges = common.stored(_star(_star(edges, True), False), name)
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
+    with common.scope():
+        edges = common.stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        before = mark(edges)
+        while before[0]:
+            half = common.stored(_star(edges, before[0], True), name)
+            edges = common.stored(_star(half, half.count(), False), name)
+            after = mark(edges)
+            if after == before:
+                break
+            before = after
+        common.keep(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
