@@ -32,7 +32,7 @@ def bold_once(html: Column, words: list[str]) -> Column:
 
 def looks_untranslated(title: Column, original: Column, lang: Column) -> Column:
     """A title that equals its original but for case and signs, or in which another language leads its own by two words."""
-    scores = tx.language_scores(title)
+    scores = tx.language_scores(tx.language_hits(title))
     own = F.coalesce(*[F.when(lang == n, s) for n, s in scores.items()], F.lit(0))
     other = F.greatest(*[F.when(lang == n, 0).otherwise(s) for n, s in scores.items()])
     same = (tx.folded_key(title) == tx.folded_key(original)) & (F.size(tx.words_of(title, 4)) >= 2)

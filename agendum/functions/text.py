@@ -49,11 +49,15 @@ FUNCTION_WORDS = {
 }
 
 
-def language_scores(c: Column, lexicons: dict[str, list[str]] | None = None) -> dict[str, Column]:
-    """Hits of each language's function words among the folded words."""
+def language_hits(c: Column, lexicons: dict[str, list[str]] | None = None) -> Column:
+    """A struct of each language's function words among the folded words; the text is folded once for all."""
     lexicons = lexicons or FUNCTION_WORDS
-    words = words_of(c)
-    return {lang: _hits(words, lexicon) for lang, lexicon in lexicons.items()}
+    return let(words_of(c), lambda w: F.struct(*[_hits(w, lexicon).alias(lang) for lang, lexicon in lexicons.items()]))
+
+
+def language_scores(hits: Column, lexicons: dict[str, list[str]] | None = None) -> dict[str, Column]:
+    """The fields of language_hits by language."""
+    return {lang: hits[lang] for lang in lexicons or FUNCTION_WORDS}
 
 
 def _hits(words: Column, lexicon: list[str]) -> Column:
@@ -150,15 +154,27 @@ def years_incompatible(a: Column, b: Column) -> Column:
     return (F.size(years_of(a)) > 0) & (F.size(years_of(b)) > 0) & ~F.arrays_overlap(years_of(a), years_of(b))
 
 
-def cross_language_same(a: Column, b: Column, stop: list[str] = ()) -> Column:
-    """Titles in two languages for one event: two shared words that are no years, half of the shorter title's, and no contrary years."""
-    keep = lambda c: F.array_distinct(F.filter(words_of(c, 3), lambda w: ~w.isin(*stop))) if stop else F.array_distinct(words_of(c, 3))
-    x, y = keep(a), keep(b)
+def title_words(c: Column, stop: list[str] = ()) -> Column:
+    """Distinct folded words of three letters and more that are no stop words."""
+    words = words_of(c, 3)
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*stop)) if stop else words)
+
+
+def not_years(words: Column) -> Column:
+    return F.filter(words, lambda w: ~w.rlike(r"^\d{4}$"))
+
+
+def same_words(x: Column, y: Column) -> Column:
+    """The test of cross_language_same on the titles' words."""
     numbers = lambda t: F.filter(t, lambda w: w.rlike(r"^\d{4}$"))
     both = F.array_intersect(x, y)
     apart = (F.size(numbers(x)) > 0) & (F.size(numbers(y)) > 0) & ~F.arrays_overlap(numbers(x), numbers(y))
-    shared = F.size(F.filter(both, lambda w: ~w.rlike(r"^\d{4}$")))
-    return (F.size(x) >= 2) & (F.size(y) >= 2) & ~apart & (shared >= 2) & (F.size(both) * 2 >= F.least(F.size(x), F.size(y)))
+    return (F.size(x) >= 2) & (F.size(y) >= 2) & ~apart & (F.size(not_years(both)) >= 2) & (F.size(both) * 2 >= F.least(F.size(x), F.size(y)))
+
+
+def cross_language_same(a: Column, b: Column, stop: list[str] = ()) -> Column:
+    """Titles in two languages for one event: two shared words that are no years, half of the shorter title's, and no contrary years."""
+    return let(F.struct(title_words(a, stop).alias("x"), title_words(b, stop).alias("y")), lambda t: same_words(t["x"], t["y"]))
 
 
 def dates_incompatible(s1: Column, e1: Column, s2: Column, e2: Column, days: int = 14) -> Column:

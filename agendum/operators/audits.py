@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agendum.storage import stored
-
-
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 100) -> DataFrame:
-    """Nodes that roots (node) reach along edges (a, b): each round asks only from the nodes found last."""
-    found = stored(roots.select("node").distinct(), "reached")
-    last = found
-    for _ in range(rounds):
-        new = last.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        last = stored(new.join(found, "node", "left_anti"), "reached")
-        if last.isEmpty():
-            return found
-        found = stored(found.unionByName(last), "reached")
-    raise RuntimeError(f"more than {rounds} steps from the roots")
+from agendum.storage import keep, scope, stored
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes that roots (node) reach along edges (a, b): each round asks only from the nodes found last, until none is new."""
+    with scope():
+        last = found = stored(roots.select("node").distinct(), "reached")
+        while True:
+            new = last.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+            last = stored(new.join(found, "node", "left_anti"), "reached")
+            if last.isEmpty():
+                return keep(stored(found, "reached"))
+            found = stored(found.unionByName(last), "reached")
 
 
 def unreached(declared: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

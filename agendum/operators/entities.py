@@ -7,28 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agendum.storage import stored
+from agendum.storage import keep, scope, stored
+
+
+def rarest_first(df: DataFrame, key: str, tokens: Column, blocks: list[str]) -> DataFrame:
+    """Rows id, blocks and tokens: each row's distinct tokens that other rows of its block have too, the rarest there first, ties by the token."""
+    rows = df.select(F.col(key).alias("id"), *blocks, F.explode(F.array_distinct(tokens)).alias("token"))
+    counted = rows.groupBy(*blocks, "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    order = F.array_sort(F.collect_list(F.struct("n", "token")))
+    return rows.join(counted, [*blocks, "token"]).groupBy("id", *blocks).agg(F.transform(order, lambda x: x["token"]).alias("tokens"))
 
 
 def token_pairs(df: DataFrame, key: str, tokens: Column, blocks: list[str], least: int = 1) -> DataFrame:
     """Pairs (a, b), a < b, of equal blocks that share at least so many tokens, with the number shared.
 
     Rows meet by token and block only. Each row asks with its rarest tokens (all but least - 1 of them): two rows that
-    share least tokens share one of those. Ranks are by frequency in the block, ties by the token, so common tokens,
-    which would make most pairs, are asked for last or not at all.
+    share least tokens share one of those. So common tokens, which would make most pairs, are asked for last or not at
+    all. A pair counts where its first token meets, so none is made twice.
     """
-    rows = df.select(F.col(key).alias("id"), *blocks, F.explode(F.array_distinct(tokens)).alias("token"))
-    counted = rows.groupBy(*blocks, "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ranked = rows.join(counted, [*blocks, "token"])
-    order = Window.partitionBy("id").orderBy("n", "token")
-    ranked = ranked.withColumn("place", F.row_number().over(order)).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("id")))
-    asking = ranked.filter(F.col("place") <= F.col("size") - (least - 1)).select(*blocks, "token", F.col("id").alias("a"))
-    met = asking.join(asking.withColumnRenamed("a", "b"), [*blocks, "token"]).filter("a < b").select("a", "b").distinct()
+    rows = rarest_first(df, key, tokens, blocks).withColumn("asked", F.expr(f"slice(tokens, 1, greatest(0, size(tokens) - {least - 1}))"))
+    asking = rows.select(*blocks, F.explode("asked").alias("token"), F.col("id").alias("a"), F.col("tokens").alias("ta"), F.col("asked").alias("asked_a"))
+    met = asking.join(asking.withColumnsRenamed({"a": "b", "ta": "tb", "asked_a": "asked_b"}), [*blocks, "token"]).filter("a < b")
+    met = met.filter(F.col("token") == F.get(F.array_intersect("asked_a", "asked_b"), F.lit(0)))
     if least == 1:
-        return met
-    lists = rows.groupBy("id").agg(F.collect_list("token").alias("t"))
-    both = met.join(lists.withColumnRenamed("id", "a").withColumnRenamed("t", "ta"), "a").join(lists.withColumnRenamed("id", "b").withColumnRenamed("t", "tb"), "b")
-    return both.withColumn("shared", F.size(F.array_intersect("ta", "tb"))).filter(F.col("shared") >= least).select("a", "b", "shared")
+        return met.select("a", "b")
+    return met.withColumn("shared", F.size(F.array_intersect("ta", "tb"))).filter(F.col("shared") >= least).select("a", "b", "shared")
 
 
 def similar_titles(df: DataFrame, key: str, title: str, blocks: list[str], test: Callable[[Column, Column], Column], tokens: Column, least: int = 1) -> DataFrame:
@@ -39,24 +42,25 @@ def similar_titles(df: DataFrame, key: str, title: str, blocks: list[str], test:
     return out.filter(test(F.col("title_a"), F.col("title_b"))).select("a", "b")
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Rows node, root of the edges (a, b); root is the smallest node that edges lead to. The closure of a relation that
     is not transitive: chains become one component.
 
     Labels go to the neighbours' smallest, then to the label of their label; each round is stored, and the rounds end
-    when no label falls. More than rounds of them raise RuntimeError.
+    when no label falls.
     """
-    sym = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    labels = stored(sym.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")), "labels")
-    for _ in range(rounds):
-        near = sym.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        lower = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("root", F.coalesce("m", "root")).alias("mid"), F.col("root").alias("old"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("jumped"))
-        new = stored(lower.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("jumped", "mid")).alias("root"), "old"), "labels")
-        if new.filter("root <> old").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    with scope():
+        sym = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+        labels = stored(sym.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")), "labels")
+        while True:
+            near = sym.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
+            lower = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("root", F.coalesce("m", "root")).alias("mid"), F.col("root").alias("old"))
+            jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("jumped"))
+            new = stored(lower.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("jumped", "mid")).alias("root"), "old"), "labels")
+            labels = new.select("node", "root")
+            if new.filter("root <> old").isEmpty():
+                keep(new)
+                return labels
 
 
 def merge_winner(df: DataFrame, group: str, order: list[Column], fill: list[str], longest: dict[str, Column] | None = None) -> DataFrame:
@@ -86,10 +90,8 @@ def translation_pair(id_a: Column, of_a: Column, id_b: Column, of_b: Column) ->
 
 
 def coincidences(df: DataFrame, key: str, place: list[str], tokens: Column) -> DataFrame:
-    """Pairs at one place and time that share a distinctive token."""
-    rows = df.withColumn("distinctive", tokens)
-    a, b = rows.select(F.col(key).alias("a"), *place, F.col("distinctive").alias("ta")), rows.select(F.col(key).alias("b"), *place, F.col("distinctive").alias("tb"))
-    return a.join(b, place).filter("a < b").filter(F.arrays_overlap("ta", "tb")).select("a", "b")
+    """Pairs at one place and time that share a distinctive token; rows meet by place and token, not by the place alone."""
+    return token_pairs(df, key, tokens, place).select("a", "b")
 
 
 def absorb(new: DataFrame, stock: DataFrame, pairs: DataFrame, online: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agendum.functions.text import let
+
 #: Rows of a side that may be sent to every task.
 SMALL = 10_000
 
@@ -63,12 +65,48 @@ def with_relatives(df: DataFrame, ids: DataFrame, key: str, parent: str) -> Data
 def longest_name_in(df: DataFrame, text: Column, key: str, names: DataFrame, name: str) -> DataFrame:
     """For each key the longest of the names that stand in its text as whole words.
 
-    Texts become runs of up to the longest name's words and join by equality, so no text meets every name.
+    Texts become runs of as many words as some name has and join by equality, so no text meets every name.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    gaz = names.select(F.col(name).alias("found_name"), plain(F.col(name)).alias("run")).filter("run <> ''").distinct()
+    sizes = [r[0] for r in gaz.select(F.size(F.split("run", " "))).distinct().collect()]  # a few numbers
+    run = lambda n: lambda w: F.transform(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - (n - 1))), lambda _, i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
+    words = F.split(plain(text), " ")
+    runs = df.select(F.col(key), F.explode(let(words, lambda w: F.array_distinct(F.concat(*[run(n)(w) for n in sizes], F.array().cast("array<string>"))))).alias("run"))
+    return runs.join(small(gaz), "run").groupBy(key).agg(F.max_by("found_name", F.struct(F.length("found_name"), "found_name")).alias("found_name"))
+
+
+def containing(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str, run: int = 8, block: int = 1000) -> DataFrame:
+    """Rows key, item_key of each text that holds an item's whole text, blanks and all; empty and null items hold nowhere.
+
+    An item's inner words stand whole in any text that holds it, so texts and items meet by hashes of up to run of them,
+    and only ids travel; the text is looked at where they meet. Items without an inner word, a stated set of very short
+    ones, are looked for in every text, block by block.
     """
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
-    gaz = names.select(F.col(name).alias("found_name"), F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", " ")).alias("run")).distinct()
-    most = gaz.agg(F.max(F.size(F.split("run", " ")))).first()[0] or 1
-    starts = df.select(F.col(key), F.posexplode(words).alias("at", "w"), words.alias("ws"))
-    run = F.explode(F.transform(F.sequence(F.lit(1), F.lit(int(most))), lambda n: F.concat_ws(" ", F.slice("ws", F.col("at") + 1, n))))
-    hits = starts.select(key, run.alias("run")).join(small(gaz), "run")
-    return hits.groupBy(key).agg(F.max_by("found_name", F.struct(F.length("found_name"), "found_name")).alias("found_name"))
+    words = lambda c: F.split(c, r"\s+")
+    asked = items.filter(F.col(item) != "").select(F.col(item_key).alias("item_key"), F.col(item).alias("item"), words(F.col(item)).alias("w"))
+    asked = asked.withColumn("n", F.least(F.lit(run), F.size("w") - 2)).withColumn("w", F.transform("w", lambda x: F.xxhash64(x)))
+    sizes = sorted(r[0] for r in asked.select("n").distinct().collect())  # run numbers at most
+    pick = lambda w, i, n: F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in range(n)])
+    long = None
+    for n in [n for n in sizes if n > 0]:
+        part = asked.filter(F.col("n") == n).select("item_key", pick(F.col("w"), F.lit(1), n).alias("h"))
+        long = part if long is None else long.unionByName(part)
+    texts = df.select(F.col(key).alias("text_key"), F.col(text).alias("text"))
+    found = None
+    if long is not None:
+        runs = lambda w, n: F.transform(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - (n - 1))), lambda _, i: pick(w, i, n))
+        every = let(F.transform(words(F.col("text")), lambda x: F.xxhash64(x)), lambda w: F.array_distinct(F.concat(*[runs(w, n) for n in sizes if n > 0])))
+        met = texts.select("text_key", F.explode(every).alias("h")).join(small(long, 100_000), "h").select("text_key", "item_key").distinct()
+        both = met.join(asked.select("item_key", "item"), "item_key")
+        found = texts.join(both, "text_key").filter(F.contains("text", "item")).select("text_key", "item_key")
+    if sizes and sizes[0] <= 0:
+        short = asked.filter("n <= 0").select("item_key", "item")
+        blocks = -(-short.count() // block)
+        for b in range(blocks):
+            some = F.broadcast(short.filter(F.pmod(F.xxhash64("item_key"), F.lit(blocks)) == b))
+            part = texts.join(some, F.contains("text", "item")).select("text_key", "item_key")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = texts.join(asked.select("item_key"), F.lit(False))
+    return found.distinct().select(F.col("text_key").alias(key), F.col("item_key").alias(item_key))

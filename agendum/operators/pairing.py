@@ -19,14 +19,16 @@ def image_key(url: Column) -> Column:
 def translation_pairs(events: DataFrame) -> DataFrame:
     """Pairs (a, b) in different languages with one image, or with one start and titles that pass across languages.
 
-    events: id, title, lang, start, image. Two equi-joins; a common image or day costs its pairs in that day only.
+    events: id, title, lang, start, image. Words are worked out once for each row; rows of a day meet by shared words,
+    the rarest first, and a common image costs its pairs only.
     """
-    rows = events.select("id", "title", "lang", "start", image_key(F.col("image")).alias("image"))
-    left = rows.select(*[F.col(c).alias(f"{c}_a") for c in rows.columns])
-    right = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
+    rows = events.select("id", "lang", "start", image_key(F.col("image")).alias("image"), tx.title_words(F.col("title")).alias("words"))
+    side = lambda p, *cs: rows.select(*[F.col(c).alias(f"{c}_{p}") for c in ("id", *cs)])
     apart = (F.col("id_a") < F.col("id_b")) & (F.col("lang_a") != F.col("lang_b"))
-    by_image = left.join(right, (F.col("image_a") == F.col("image_b")) & apart).select("id_a", "id_b")
-    by_day = left.join(right, (F.col("start_a") == F.col("start_b")) & apart).filter(tx.cross_language_same(F.col("title_a"), F.col("title_b"))).select("id_a", "id_b")
+    by_image = side("a", "lang", "image").join(side("b", "lang", "image"), (F.col("image_a") == F.col("image_b")) & apart).select("id_a", "id_b")
+    met = entities.token_pairs(rows.filter("start is not null"), "id", tx.not_years(F.col("words")), ["start"], 2).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    both = met.join(side("a", "lang", "words"), "id_a").join(side("b", "lang", "words"), "id_b")
+    by_day = both.filter(apart & tx.same_words(F.col("words_a"), F.col("words_b"))).select("id_a", "id_b")
     return by_image.unionByName(by_day).distinct().select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
@@ -34,17 +36,28 @@ def next_editions(events: DataFrame, low: int = 300, high: int = 430, every_toke
     """Pairs (edition, next_edition): two shared words that are no years, 6 of 10 of the shorter title's, starts low to
     high days apart, one venue or none on either side, one of the two online.
 
-    events: id, title, start (date), venue, online. Rows meet by a shared word, or by their first one only, which loses
-    pairs whose first words differ, as the reference does.
+    events: id, title, start (date), venue, online. Rows meet by venue and word: by all but the commonest of a title's
+    words, as pairs share two, and where both name a venue by that too. every_token=False asks by the first word only,
+    which loses pairs whose first words differ, as the reference does.
     """
-    words = F.array_sort(F.array_distinct(F.filter(tx.words_of(F.col("title"), 3), lambda w: ~w.rlike(r"^\d{4}$"))))
-    rows = events.filter("start is not null").withColumn("words", words)
-    asked = rows.withColumn("token", F.explode("words") if every_token else F.get("words", F.lit(0))).filter("token is not null")
-    a = asked.select("token", F.col("id").alias("edition"), "start", F.col("words").alias("wa"), F.col("venue").alias("va"), F.col("online").alias("oa"))
-    b = asked.select("token", F.col("id").alias("next_edition"), F.col("start").alias("next_start"), F.col("words").alias("wb"), F.col("venue").alias("vb"), F.col("online").alias("ob"))
-    shared = F.size(F.array_intersect("wa", "wb"))
-    fits = (shared >= 2) & (shared * 10 >= F.least(F.size("wa"), F.size("wb")) * 6) & (F.col("va").isNull() | F.col("vb").isNull() | (tx.folded_key(F.col("va")) == tx.folded_key(F.col("vb")))) & (F.col("oa") | F.col("ob"))
-    return band(a, b, ["token"], "start", "next_start", low, high).filter(fits).select("edition", "next_edition").distinct()
+    words = F.array_sort(tx.not_years(tx.title_words(F.col("title"))))
+    rows = events.filter("start is not null").select("id", "start", F.nullif(tx.folded_key(F.col("venue")), F.lit("")).alias("venue"), "online", words.alias("words"))
+    if every_token:
+        asked = entities.rarest_first(rows, "id", F.col("words"), []).select("id", F.expr("slice(tokens, 1, greatest(0, size(tokens) - 1))").alias("asked"))
+        rows = rows.join(asked, "id")
+    else:
+        rows = rows.withColumn("asked", F.slice("words", 1, 1))
+    # Two venues meet by name; a row without one meets all, once: from the left under "<", else from the right under ">".
+    known, at = F.col("venue").isNotNull(), lambda *c: F.array(*c)
+    left = rows.withColumn("place", F.explode(F.when(known, at(F.concat(F.lit("="), "venue"), F.lit("<"))).otherwise(at(F.lit("<"), F.lit(">")))))
+    right = rows.withColumn("place", F.when(known, F.concat(F.lit("="), "venue")).otherwise("<"))
+    right = right.unionByName(rows.filter(known).withColumn("place", F.lit(">")))
+    side = lambda df, p: df.select("place", F.explode("asked").alias("token"), *[F.col(c).alias(f"{c}_{p}") for c in ("id", "start", "words", "asked", "online")])
+    pairs = band(side(left, "a"), side(right, "b"), ["place", "token"], "start_a", "start_b", low, high)
+    shared = F.size(F.array_intersect("words_a", "words_b"))
+    once = F.col("token") == F.get(F.array_intersect("asked_a", "asked_b"), F.lit(0))
+    fits = (shared >= 2) & (shared * 10 >= F.least(F.size("words_a"), F.size("words_b")) * 6) & (F.col("online_a") | F.col("online_b"))
+    return pairs.filter(once & fits).select(F.col("id_a").alias("edition"), F.col("id_b").alias("next_edition"))
 
 
 def adopted(events: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -59,12 +72,17 @@ def adopted(events: DataFrame, pairs: DataFrame) -> DataFrame:
 def press_kits(kits: DataFrame, events: DataFrame, least: int = 2) -> DataFrame:
     """Each kit's event: of those that share two significant words, in its territory if it names one, the highest id.
 
-    kits: kit, title, territory; events: id, title, territory. Words meet by equality, so no kit reads all events.
+    kits: kit, title, territory; events: id, title, territory. Kits ask with all but least - 1 of their words, the rarest
+    among events first, and the words that are shared are counted on the pairs that meet.
     """
-    k = kits.select("kit", "territory", F.explode(F.array_distinct(tx.words_of(F.col("title"), 5))).alias("word"))
-    e = events.select("id", F.col("territory").alias("where"), F.explode(F.array_distinct(tx.words_of(F.col("title"), 5))).alias("word"))
-    met = k.join(e, "word").filter(F.col("territory").isNull() | (F.col("territory") == F.col("where")))
-    return met.groupBy("kit", "id").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least).groupBy("kit").agg(F.max("id").alias("id"))
+    words = lambda: F.array_distinct(tx.words_of(F.col("title"), 5)).alias("words")
+    e = events.select("id", F.col("territory").alias("where"), words())
+    counts = e.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    k = kits.select("kit", "territory", words())
+    order = k.select("kit", F.explode("words").alias("word")).join(counts, "word").groupBy("kit").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("order"))
+    asked = k.join(order, "kit").select("kit", "territory", F.col("words").alias("kit_words"), F.explode(F.expr(f"transform(slice(order, 1, greatest(0, size(order) - {least - 1})), x -> x.word)")).alias("word"))
+    met = asked.join(e.select("id", "where", "words", F.explode("words").alias("word")), "word").filter(F.col("territory").isNull() | (F.col("territory") == F.col("where")))
+    return met.filter(F.size(F.array_intersect("kit_words", "words")) >= least).groupBy("kit").agg(F.max("id").alias("id"))
 
 
 def pivoted(meta: DataFrame, key: str, name: str, value: str, names: list[str]) -> DataFrame:

@@ -22,23 +22,12 @@ def query(sql: str):
     return keep
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey * 7 % 1500 AS b FROM orders WHERE o_totalprice > 150000),
-r AS (SELECT 1::BIGINT AS node UNION SELECT b FROM r JOIN e ON node = a)
-SELECT node FROM r
-""")
-def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").filter("o_totalprice > 150000")
-    edges = orders.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 1500).alias("b")).distinct()
-    return audits.reachable(edges, spark.range(1, 2).withColumnRenamed("id", "node"))
-
-
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey * 7 % (SELECT max(o_custkey) + 1 FROM orders) AS b FROM orders),
 r AS (SELECT 1::BIGINT AS node UNION SELECT b FROM r JOIN e ON node = a)
 SELECT node FROM r
 """)
-def reachable_nodes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders make edges, from their customer to one of as many as there are keys."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     keys = orders.agg((F.max("o_custkey") + 1).alias("keys"))
@@ -257,17 +246,7 @@ def most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 40
+SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''
 """)
 def benchmark_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an item's whole text: candidates share the item's first eight words, then the text is looked for."""
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    run = lambda ws, i: F.concat_ws(" ", F.slice(ws, i, 8))
-    items = table(spark, sf_dir, "benchmark").filter(F.length("text") >= 40).select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w"))
-    items = items.select("item_id", "item", F.xxhash64(F.when(F.size("w") >= 10, F.concat_ws(" ", F.slice("w", 2, 8)))).alias("h"), (F.size("w") < 10).alias("short"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
-    runs = docs.filter(F.size("w") >= 8).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(run(F.col("w"), i))))).alias("h"))
-    # Items of fewer than ten words, seldom any, have no inner run of eight: each is looked for in every text.
-    found = runs.join(joins.small(items.filter("not short"), 100_000), "h").filter(F.contains("text", "item")).select("item_id", "doc_id")
-    few = docs.join(joins.small(items.filter("short"), 1_000), F.contains("text", "item")).select("item_id", "doc_id")
-    return found.unionByName(few).distinct()
+    return joins.containing(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", "doc_id")

@@ -43,8 +43,9 @@ _HITS = {n: f"len(list_filter(string_split({_KEY}, ' '), lambda w: w IN ({', '.j
 
 @query(f"SELECT doc_id, {', '.join(f'{h} AS hits_{n}' for n, h in _HITS.items())} FROM documents")
 def lang_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = tx.language_scores(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", *[s.cast("long").alias(f"hits_{n}") for n, s in scores.items()])
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.language_hits(F.col("text")).alias("hits"))
+    scores = tx.language_scores(F.col("hits"))
+    return docs.select("doc_id", *[s.cast("long").alias(f"hits_{n}") for n, s in scores.items()])
 
 
 @query(f"""
@@ -53,8 +54,8 @@ r AS (SELECT doc_id, lang, list_reverse_sort([{{'s': en, 'n': 'en'}}, {{'s': de,
 SELECT lang, coalesce(CASE WHEN total >= 15 AND o[1].s >= 2 * o[2].s THEN o[1].n END, 'undecided') AS decided, count(*) AS n FROM r GROUP BY 1, 2
 """)
 def lang_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    verdict = F.coalesce(tx.decided_language(tx.language_scores(F.col("text"))), F.lit("undecided"))
+    docs = table(spark, sf_dir, "documents").select("lang", tx.language_hits(F.col("text")).alias("hits"))
+    verdict = F.coalesce(tx.decided_language(tx.language_scores(F.col("hits"))), F.lit("undecided"))
     return docs.select("lang", verdict.alias("decided")).groupBy("lang", "decided").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -130,10 +131,9 @@ BLOCKED = ["example.net", "spam-farm.example.org"]
 SELECT page_id FROM pages WHERE NOT ({' OR '.join(f"regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) = '{b}' OR suffix(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '.{b}')" for b in BLOCKED)})
 """)
 def host_suffix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(web.host_suffixes(web.host(F.col("url")))).alias("suffix"))
-    hosts = spark.createDataFrame([(b,) for b in BLOCKED], "suffix string")
-    hit = pages.join(hosts, "suffix", "left_semi").select("page_id").distinct()
-    return table(spark, sf_dir, "pages").select("page_id").join(hit, "page_id", "left_anti")
+    blocked = F.array(*[F.lit(b) for b in BLOCKED])
+    hit = F.arrays_overlap(web.host_suffixes(web.host(F.col("url"))), blocked)
+    return table(spark, sf_dir, "pages").filter(~F.coalesce(hit, F.lit(False))).select("page_id")
 
 
 @query(r"""
@@ -143,41 +143,23 @@ def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.fingerprint(F.col("role"), F.col("text")).alias("fingerprint"))
 
 
-@query("""
-WITH t AS (SELECT p_partkey AS id, p_brand, list_distinct(string_split(p_name, ' ')) AS w FROM part WHERE p_size < 26)
-SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS shared FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 2
-""")
-def title_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").filter("p_size < 26").withColumnRenamed("p_partkey", "id")
-    return entities.token_pairs(parts, "id", F.split("p_name", " "), ["p_brand"], 2).withColumn("shared", F.col("shared").cast("long"))
-
-
 @query("""
 WITH t AS (SELECT p_partkey AS id, p_brand, list_distinct(string_split(p_name, ' ')) AS w FROM part)
 SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS shared FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 2
 """)
-def title_token_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of parts of every size."""
+def title_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
     return entities.token_pairs(parts, "id", F.split("p_name", " "), ["p_brand"], 2).withColumn("shared", F.col("shared").cast("long"))
 
 
-_EDGES = "SELECT DISTINCT l_partkey AS a, 100000000 + l_suppkey AS b FROM lineitem WHERE l_quantity > 49 AND l_suppkey % 5 = 0"
-
-
-@query(f"""
-WITH RECURSIVE e AS ({_EDGES}), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-w AS (SELECT DISTINCT a AS node, a AS root FROM s UNION SELECT w.node, s.b FROM w JOIN s ON w.root = s.a)
-SELECT node, min(root) AS root FROM w GROUP BY node
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, 100000000 + l_suppkey AS b FROM lineitem), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+w(node, root) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM s
+  UNION SELECT s.b, min(w.root) FROM w JOIN s ON w.node = s.a JOIN recurring.w AS own ON own.node = s.b GROUP BY s.b, own.root HAVING min(w.root) < own.root)
+SELECT node, root FROM w
 """)
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 49 and l_suppkey % 5 = 0")
-    return entities.components(lines.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100_000_000).alias("b")).distinct())
-
-
-@query()
-def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The components of all lineitem edges; the recursive SQL holds every pair of a component's nodes, so tests close them by union-find."""
     lines = table(spark, sf_dir, "lineitem")
     return entities.components(lines.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100_000_000).alias("b")).distinct())
 

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Folders in the shared folder by scope, the innermost last.
+_scopes: list[list[str]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where none is set."""
+    """spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder; on a cluster ValueError is raised,
+    as that would be a folder of one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="agendum-"))
         root = _own[0]
@@ -22,7 +29,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet and read back."""
+    """df written once as Parquet and read back; the innermost scope deletes it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope():
+    """Deletes at its end what was stored in it, but for what keep() was told; for callers that have consumed all of it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _delete(_scopes.pop())
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Leaves the newest stored folder, which df reads, to the scope outside."""
+    _scopes[-2].append(_scopes[-1].pop())
+    return df
+
+
+def drop_stored() -> None:
+    """Deletes all that was stored in this process outside of any scope; for callers that are done with all results."""
+    _delete(_scopes[0])
+    _scopes[0].clear()
+
+
+def _delete(paths: list[str]) -> None:
+    for path in paths:
+        system, base = fs.FileSystem.from_uri(path)
+        if system.get_file_info(base).type == fs.FileType.Directory:
+            system.delete_dir(base)

@@ -25,7 +25,7 @@ def test_components_of_all_edges(spark, tmp_path):
     rows += [(n, 10 + n // 2, 1.0) for n in range(10, 60)] + [(n + 1, 10 + n // 2, 49.0) for n in range(11, 50, 4)]
     spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     want = closed((p, s + 100_000_000) for p, s, _ in rows)
-    assert {r.node: r.root for r in plans.QUERIES["connected_components_all"](spark, str(tmp_path)).collect()} == want
+    assert {r.node: r.root for r in plans.QUERIES["connected_components"](spark, str(tmp_path)).collect()} == want
     assert len(want) == len({p for p, *_ in rows}) + len({s for _, s, _ in rows}) and len(set(want.values())) > 3
 
 
@@ -35,7 +35,7 @@ def test_title_pairs_of_parts_of_every_size(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     shared = lambda a, b: len(set(a[1].split()) & set(b[1].split()))
     want = {(a[0], b[0], shared(a, b)) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and shared(a, b) >= 2}
-    assert {tuple(r) for r in plans.QUERIES["title_token_pairs_all"](spark, str(tmp_path)).select("a", "b", "shared").collect()} == want
+    assert {tuple(r) for r in plans.QUERIES["title_token_pairs"](spark, str(tmp_path)).select("a", "b", "shared").collect()} == want
 
 
 def test_reach_over_all_orders(spark, tmp_path):
@@ -50,4 +50,4 @@ def test_reach_over_all_orders(spark, tmp_path):
         new = set(steps.get(todo.pop(), ())) - want
         want |= new
         todo += new
-    assert {r.node for r in plans.QUERIES["reachable_nodes_all"](spark, str(tmp_path)).collect()} == want and max(want) > 1500
+    assert {r.node for r in plans.QUERIES["reachable_nodes"](spark, str(tmp_path)).collect()} == want and max(want) > 1500
