@@ -13,7 +13,6 @@ manifest.json names the files of the tasks that counted: files of tasks that wer
 from __future__ import annotations
 
 import json
-import random
 import uuid
 import zlib
 
@@ -62,17 +61,20 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", files: int | None = None) -> str:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", files: int | None = None, file_bytes: int = 256_000_000) -> str:
     """Writes each row's token ids, and end_id behind them, in ascending order of key under the URI path.
 
-    One range partition of keys makes one data file and its index, so no task holds more than one record
-    and its file's offsets. Null keys come first, equal keys in the order of their texts' first HEAD_CHARS
-    characters, then of their hashes, so that a key with many rows spreads over files; a null text counts as empty; repeated rows each make a record; an empty table makes a manifest without files. Other columns
-    are not written. The path is a URI that driver and executors share.
+    One range partition of keys makes one data file and its index: a file for each file_bytes bytes of text, so that its
+    offsets fit in a task, and as many as the session has shuffle partitions at least. Keys are integers (others fail).
+    Null keys come first, equal keys in the order of their texts' first HEAD_CHARS characters, then of their hashes, so
+    that a key with many rows spreads over files; a null text counts as empty; repeated rows each make a record; an empty
+    table makes a manifest without files. Other columns are not written. The path is a URI that driver and executors share.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    files = files or common.parallelism(spark)
+    if files is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")).cast("long"))).first()[0] or 0
+        files = max(common.parallelism(spark), -(-size // file_bytes))
 
     def write(batches):
         from pyspark import TaskContext
@@ -100,7 +102,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
 
     fs, base = _open(path)
     fs.create_dir(base, recursive=True)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
     head, mark = F.substring("t", 1, HEAD_CHARS), F.xxhash64("t")
     order = [F.col("k").asc_nulls_first(), head.asc_nulls_first(), mark.asc()]
     # The salt parts equal rows only, which may stand in any order.
@@ -115,42 +117,46 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
     return path
 
 
-def read_records(spark: SparkSession, path: str, seed: int | None = None, block: int = 4_000_000) -> DataFrame:
+def read_records(spark: SparkSession, path: str, seed: int | None = None, block: int = 4_000_000, range_bytes: int = 128_000_000) -> DataFrame:
     """Rows key, start (tokens of all records before it), n_tokens and ids (32-bit little-endian) of a written folder.
 
-    Each file is one task's; it reads block bytes at a time, or, with a seed, its records in a shuffled order
-    by seeking through the index. A damaged record raises ValueError.
+    A file is read in ranges of its records of about range_bytes bytes, each by a task that seeks its part of the index and
+    then reads block bytes at a time, or, with a seed, its records in a shuffled order one by one; the ranges are dealt out
+    in a shuffled order then too. A damaged record raises ValueError.
     """
     common.ship(spark)
     fs, base = _open(path)
     with fs.open_input_stream(f"{base}/manifest.json") as f:
         files = json.loads(f.read())["files"]
-    if seed is not None:
-        random.Random(seed).shuffle(files)
-    listed = spark.createDataFrame([(f["part"], f["stem"], f["start"]) for f in files], "part int, stem string, start long")
+    ranges = [max(1, -(-f["bytes"] // range_bytes)) for f in files]
+    listed = spark.createDataFrame([(f["part"], f["stem"], f["start"], f["records"], n) for f, n in zip(files, ranges, strict=True)], "part int, stem string, start long, n long, ranges long")
+    listed = listed.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ranges") - 1)))
+    listed = listed.select("part", "stem", "start", "n", F.expr("n * i div ranges").alias("low"), F.expr("n * (i + 1) div ranges").alias("high")).filter("low < high")
     schema = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def read(batches):
         fs, base = _open(path)
         for batch in batches:
-            for part, stem, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with fs.open_input_stream(f"{base}/{stem}.idx") as f:
-                    offsets, starts = np.frombuffer(f.read(), "<u8").reshape(2, -1).astype(np.int64)
-                n = len(offsets) - 1
-                order = np.arange(n) if seed is None else np.random.default_rng([seed, part]).permutation(n)
+            for part, stem, first, n, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with fs.open_input_file(f"{base}/{stem}.idx") as f:
+                    offsets, starts = (np.frombuffer(f.read_at(8 * (high - low + 1), 8 * (row * (n + 1) + low)), "<u8").astype(np.int64) for row in (0, 1))
+                m = high - low
+                order = np.arange(m) if seed is None else np.random.default_rng([seed, part, low]).permutation(m)
                 with fs.open_input_file(f"{base}/{stem}.bin") as f:
                     a = 0
-                    while a < n:
+                    while a < m:
                         if seed is None:
                             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + block, "right")) - 1)
                             data = memoryview(f.read_at(int(offsets[b] - offsets[a]), int(offsets[a])))
                             records = [data[offsets[i] - offsets[a] : offsets[i + 1] - offsets[a]] for i in range(a, b)]
                         else:
-                            b = min(n, a + 256)
+                            b = min(m, a + 256)
                             records = [memoryview(f.read_at(int(offsets[i + 1] - offsets[i]), int(offsets[i]))) for i in order[a:b]]
                         keys, ids = zip(*map(unframe, records), strict=True)
                         at = order[a:b]
                         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts[at] + first), pa.array(starts[at + 1] - starts[at]), pa.array(ids, pa.binary())], schema=schema)
                         a = b
 
-    return listed.repartition(max(1, len(files))).mapInArrow(read, "key long, start long, n_tokens long, ids binary")
+    tasks = max(1, sum(ranges))
+    listed = listed.repartition(tasks) if seed is None else listed.repartitionByRange(tasks, F.xxhash64(F.lit(seed), "stem", "low"))
+    return listed.mapInArrow(read, "key long, start long, n_tokens long, ids binary")

@@ -70,7 +70,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, key:
                         rows.append((k, j, at // 4, len(part) // 4, part))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("t"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").cast("string").alias("t"))
     out = rows.mapInArrow(tokenize, f"`{key}` long, piece int, start long, length long, ids binary")
     return common.stored(out.withColumn("piece_uid", F.monotonically_increasing_id()), "pieces")
 
@@ -97,8 +97,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     """Packs whole documents into as few sequences of capacity tokens as the sum-of-squares rule reaches.
 
     Each document's ids end with end_id. Only documents longer than capacity are cut, each into full pieces and
-    a rest. A null text counts as empty (a piece of one token); null keys and repeated rows are packed like any
-    other; other columns take no part; an empty table gives empty results.
+    a rest. A null text counts as empty (a piece of one token); null keys (keys are integers, others fail) and repeated
+    rows are packed like any other; other columns take no part; an empty table gives empty results.
     """
     made = cut(docs, tokenizer, end_id, capacity, key, text)
     return Packed(made, place(made.select("piece_uid", "length"), capacity, shard_pieces))

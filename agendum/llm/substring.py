@@ -34,18 +34,28 @@ def text_key(text: Column) -> list[Column]:
 
 def _rows(hashes: list[np.ndarray], k1: np.ndarray, k2: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     """Places with their hashes, the first of each hash with n, how often it stands here. Its further places are known to
-    be shared: they have n = 0, and a hash of their own in place of that one."""
+    be shared: they go in one row for each text, with n = 0, in more, under a hash of the text's key."""
     order = np.lexsort(hashes[::-1])
     hashes, k1, k2, pos = [h[order] for h in hashes], k1[order], k2[order], pos[order]
     new = np.ones(len(order), bool)
     if len(order):
         new[1:] = np.any([h[1:] != h[:-1] for h in hashes], axis=0)
-    first = np.flatnonzero(new)
-    n = np.zeros(len(order), np.int32)
-    n[first] = np.diff(np.append(first, len(order)))
-    own = mix(k1.view(np.uint64) + pos.astype(np.uint64))
-    columns = [pa.array(np.where(new, h, own).view(np.int64)) for h in hashes]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(k1), pa.array(k2), pa.array(pos)], names=[*(f"h{i}" for i in range(len(hashes))), "n", "k1", "k2", "pos"])
+    first, rest = np.flatnonzero(new), np.flatnonzero(~new)
+    n = np.diff(np.append(first, len(order))).astype(np.int32)
+    rest = rest[np.lexsort((pos[rest], k2[rest], k1[rest]))]
+    text = np.ones(len(rest), bool)  # whether a text begins there, and whether a place does
+    text[1:] = (k1[rest][1:] != k1[rest][:-1]) | (k2[rest][1:] != k2[rest][:-1])
+    place = text.copy()
+    place[1:] |= pos[rest][1:] != pos[rest][:-1]
+    rest, text = rest[place], text[place]
+    heads = rest[text]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(text), len(rest)).astype(np.int32)), pa.array(pos[rest]))
+    more = pa.concat_arrays([pa.nulls(len(first), lists.type), lists])
+    both = np.concatenate([first, heads])
+    own = [mix(k1[heads].view(np.uint64))] + [np.zeros(len(heads), np.uint64)] * (len(hashes) - 1)
+    columns = [pa.array(np.concatenate([h[first], o]).view(np.int64)) for h, o in zip(hashes, own, strict=True)]
+    columns += [pa.array(np.concatenate([n, np.zeros(len(heads), np.int32)])), pa.array(k1[both]), pa.array(k2[both]), pa.array(pos[both]), more]
+    return pa.RecordBatch.from_arrays(columns, names=[*(f"h{i}" for i in range(len(hashes))), "n", "k1", "k2", "pos", "more"])
 
 
 def _combined(found, rows: int = 500_000):
@@ -70,6 +80,7 @@ def _shared(places: DataFrame, name: str) -> DataFrame:
         often = places.filter("n > 0").groupBy(*hashes).agg(F.sum("n").alias("often")).filter("often > 1")
         often = common.stored(often.select(*hashes, F.lit(True).alias("twice")), "often")
         found = places.join(often.hint("merge"), hashes, "left").filter("n = 0 or twice")
+        found = found.select("k1", "k2", F.explode(F.coalesce("more", F.array("pos"))).alias("pos"))
         return common.keep(common.stored(found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("places")), name))
 
 
@@ -117,7 +128,7 @@ def shared_windows(docs: DataFrame, text: str, width: int, period: int) -> tuple
 
         yield from _combined(found())
 
-    rest = "n int, k1 long, k2 int, pos int"
+    rest = "n int, k1 long, k2 int, pos int, more array<int>"
     keyed = docs.select("k1", "k2", F.col(f"`{text}`").alias("t"))
     with common.scope():
         hits = _shared(keyed.mapInArrow(anchors, f"h0 long, {rest}"), "anchors")

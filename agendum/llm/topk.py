@@ -1,7 +1,8 @@
 """Exact top-k search by inner product: ball-tree branch and bound in each shard of the candidates.
 
-Candidates are dealt out in shards, queries in blocks, and every block meets every shard. The first shard runs
-alone; each query takes its kth score from there into all others, where it cuts off nodes from the start.
+Candidates are dealt out in shards, queries in blocks, and every block meets every shard. Shards run in waves, each
+four times as many as before: one, three, twelve and so on. After a wave every query keeps its k best so far, and their
+kth score goes with it into the next, where it cuts off nodes from the start.
 """
 
 from __future__ import annotations
@@ -103,14 +104,15 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec
 
     Vectors are arrays of long; rows with a null key or vector take no part. A query meets all candidates of its length
     but those with its own key; it gets fewer rows if there are fewer. Repeated candidates count each; a query repeated
-    with the same vector counts once. Other columns take no part; empty tables give an empty result.
+    with the same vector counts once. Other columns take no part; empty tables give an empty result. Keys are integers.
+    A task holds shard_rows candidates and block_rows queries.
     """
     spark = candidates.sparkSession
     common.ship(spark)
     shape = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null").withColumn("size", F.size("v"))
     c, q = shape(candidates), shape(queries).distinct().withColumn("same", F.xxhash64("v"))  # tells queries of one id apart
     shards, blocks = max(1, -(-c.count() // shard_rows)), max(1, -(-q.count() // block_rows))
-    c = c.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    c = c.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     names = ["query_id", "same", "vec_id", "score"]
 
@@ -127,12 +129,21 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec
     def wave(c: DataFrame, q: DataFrame, first: int, last: int) -> DataFrame:
         spread = q.withColumn("shard", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
         keys = ["size", "shard", "block"]
-        return c.filter(F.col("shard").between(first, last)).groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(meet, "query_id long, same long, vec_id long, score long")
+        copies = c.filter(F.col("shard").between(first, last)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return copies.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(meet, "query_id long, same long, vec_id long, score long")
 
-    found = common.stored(wave(c, q.withColumn("floor", F.lit(None).cast("double")), 0, 0), "pilot")
-    if shards > 1:
-        rank = Window.partitionBy("query_id", "same").orderBy(F.desc("score"))
-        kth = found.withColumn("n", F.row_number().over(rank)).filter(F.col("n") == k).select(F.col("query_id").alias("id"), "same", F.col("score").cast("double").alias("floor"))
-        found = found.unionByName(wave(c, q.join(kth, ["id", "same"], "left"), 1, shards - 1))
     order = Window.partitionBy("query_id", "same").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, first, last = None, 0, 0
+    with common.scope():
+        while first < shards:
+            if best is None:
+                asked = q.withColumn("floor", F.lit(None).cast("double"))
+            else:
+                kth = best.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "same", F.col("score").cast("double").alias("floor"))
+                asked = q.join(kth, ["id", "same"], "left")
+            found = wave(c, asked, first, last)
+            found = found if best is None else found.unionByName(best.drop("rank"))
+            best = common.stored(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best")
+            first, last = last + 1, min(shards - 1, 4 * last + 3)
+        common.keep(best)
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -50,6 +50,11 @@ class RuleTrie:
                 at["begins"][begin] = rule
             at["lengths"] = tuple(sorted({len(b) for b in at["begins"]}))
 
+    @staticmethod
+    def bytes_of(rules: list[UrlRule]) -> int:
+        """No less than a worker's memory for the trie: at most one node of three dictionaries for each label and segment."""
+        return sum(800 * (r.host.count(".") + r.path.count("/") + 2) + 4 * len(str(r)) for r in rules)
+
     def find(self, host: str, path: str) -> UrlRule | None:
         """The longest rule (host and path together) that fits; the longer host among equals; block before allow for one rule."""
         best, size, node, segments = None, -1, self.root, None
@@ -72,19 +77,19 @@ class RuleTrie:
         return best
 
 
-def judge_urls(pages: DataFrame, rules: list[UrlRule], url: str = "url", default: str = "allow", max_broadcast: int = 1_000_000) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[UrlRule], url: str = "url", default: str = "allow", max_bytes: int = 64_000_000) -> DataFrame:
     """Adds host, path, rule (host and path of the longest rule that fits, else null) and verdict (its, else default) to each row.
 
-    A null url or one without :// has an empty host and path and gets the default, unless a rule has an empty host. Up
-    to max_broadcast rules travel as one trie to every task; more are joined by host suffix instead. Repeated rows are
-    judged alike; columns of the added names are replaced; an empty table stays empty.
+    A null url or one without :// has an empty host and path and gets the default, unless a rule has an empty host. Rules
+    whose trie takes max_bytes at most (as RuleTrie.bytes_of reckons) travel to every task; more are joined by host
+    suffix instead, with the same result. Repeated rows are judged alike; columns of the added names are replaced; an empty table stays empty.
     """
     spark = pages.sparkSession
     common.ship(spark)
     kept = common.without(pages, ["host", "path", "rule", "verdict"])
     host, path = host_and_path(F.col(f"`{url}`"))
     out = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"))
-    if len(rules) <= max_broadcast:
+    if RuleTrie.bytes_of(rules) <= max_bytes:
         trie = spark.sparkContext.broadcast(RuleTrie(rules))
 
         @F.pandas_udf("rule string, verdict string")

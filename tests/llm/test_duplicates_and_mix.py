@@ -9,6 +9,7 @@ import pytest
 pytest.importorskip("agendum.llm")
 
 from agendum.llm import common, mixing, ngramjoin, substring
+from tests.llm import brute
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -121,42 +122,47 @@ def test_covers_hold_every_difference():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-def test_plan_meets_entropy_and_limit():
-    tokens = {"a": 1000, "b": 100, "c": 10, "none": 0}
-    assert mixing.plan(tokens).alpha == 1.0 and mixing.plan(tokens).budgets == {"a": 1000, "b": 100, "c": 10, "none": 0}
-    from math import log
+@pytest.mark.parametrize("options", [{}, {"budget": 3000}, {"target_entropy": 0.9}, {"budget": 3000, "target_entropy": 0.9}, {"budget": 3000, "target_entropy": 0.9, "repetition_limit": 5}, {"target_entropy": 0.9, "repetition_limit": 2}, {"budget": 10**6, "repetition_limit": 2}])
+def test_plan_is_that_of_brute_force(spark, options):
+    for tokens in ({"a": 1000, "b": 100, "c": 10, "none": 0}, {f"s{n}": 1 + n * n for n in range(300)}) if options else ({}, {"x": 0}, {"x": 7}):
+        got = mixing.find_plan(spark.createDataFrame(list(tokens.items()), "mix_source string, tokens long"), **options)
+        alpha, budgets = brute.plan(tokens, options.get("budget"), options.get("target_entropy"), options.get("repetition_limit"))
+        assert abs(got.alpha - alpha) < 1e-9
+        for s, w in brute.weights(tokens, alpha).items():
+            share = tokens[s] / sum(tokens.values())
+            assert abs(share**got.alpha / got.powers - w) < 1e-9 and abs(got.tokens * w - budgets[s]) < 1.001
 
-    made = mixing.plan(tokens, budget=3000, target_entropy=0.9)
-    assert abs(mixing.entropy(made.weights) - 0.9 * log(3)) < 1e-6 and sum(made.budgets.values()) == 3000
-    limited = mixing.plan(tokens, budget=3000, target_entropy=0.9, repetition_limit=5)
-    assert all(limited.budgets[s] <= 5 * t + 1 for s, t in tokens.items()) and limited.budgets["c"] >= 49
-    assert mixing.plan({}).budgets == {} and mixing.plan({"x": 0}, budget=5).budgets == {"x": 0}
-    free = mixing.plan(tokens, target_entropy=0.9, repetition_limit=2)
-    assert all(free.budgets[s] >= t for s, t in tokens.items()) and all(free.budgets[s] <= 2 * t + 1 for s, t in tokens.items())
 
-
-@pytest.mark.parametrize("budget", [None, 700, 12_000])
-def test_mix_spends_its_budgets(spark, budget):
+@pytest.mark.parametrize(("budget", "most_sent"), [(None, 10_000), (700, 10_000), (12_000, 10_000), (12_000, 2), (None, 2)])
+def test_mix_spends_its_budgets(spark, budget, most_sent):
     rng = random.Random(3)
     rows = [(n if n % 9 else None, f"s{min(3, n % 10)}" if n % 11 else None, " ".join(words(rng.randint(0, 30), n)), n) for n in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, MIX_EPOCH int")
-    got = mixing.mix(df, budget=budget, block_tokens=60).collect()
+    got = mixing.mix(df, budget=budget, block_tokens=60, most_sent=most_sent).collect()
     tokens, of = Counter(), {}
     for _, s, t, _n in rows:
         tokens[s] += len(t.split())
-    made = mixing.plan(dict(tokens), budget, 0.9, 2.0)
-    spent, longest = Counter(), max(len(r[2].split()) for r in rows)
+    _, budgets = brute.plan(dict(tokens), budget, 0.9, 2.0)
     for r in got:
-        spent[r.source] += len(r.text.split())
         of.setdefault((r.source, r.mix_epoch), []).append(r)
-    for s, b in made.budgets.items():
-        assert b - longest < spent[s] <= b
-        whole = b // tokens[s]
-        for e in range(whole):
-            assert sum(len(r.text.split()) for r in of[s, e]) == tokens[s]
-        # The last epoch is the beginning of its permutation: the whole epoch of a larger mix gives the same order.
-    if budget == 12_000:
-        assert len({tuple(r.text for r in sorted(of[s, e], key=lambda r: (r.mix_block, r.mix_place))) for s, e in of}) == len(of)
+    # Every epoch's permutation stands whole in a mix that goes beyond it; the last one taken is the longest beginning that fits.
+    beyond = {}
+    for r in mixing.mix(df, budget=40_000, block_tokens=60).collect():
+        beyond.setdefault((r.source, r.mix_epoch), []).append(r)
+    place = lambda r: (r.mix_block, r.mix_place)
+    for s, b in budgets.items():
+        whole, rest = divmod(b, tokens[s])
+        for e in range(whole + 1):
+            order, want = sorted(beyond[s, e], key=place), []
+            assert sum(len(r.text.split()) for r in order) == tokens[s]
+            left = tokens[s] if e < whole else rest
+            for p in sorted({place(r) for r in order}):
+                same = [r for r in order if place(r) == p]
+                left -= sum(len(r.text.split()) for r in same)
+                if left < 0 or e == whole and not rest:
+                    break
+                want += [(r.doc_id, r.text) for r in same]
+            assert Counter((r.doc_id, r.text) for r in of.get((s, e), [])) == Counter(want), (s, e)
     assert mixing.mix(df.limit(0)).count() == 0
 
 

@@ -11,8 +11,9 @@ import pytest
 
 pytest.importorskip("agendum.llm")
 
-from agendum.llm import mixing, queries
+from agendum.llm import queries
 from agendum.llm.tokens import vocabulary
+from tests.llm import brute
 
 
 @pytest.fixture(scope="module")
@@ -106,12 +107,12 @@ def test_mix_query(spark, tables):
     tokens = Counter()
     for _, x, _, s, _ in docs:
         tokens[s] += len((x or "").split())
-    made, longest = mixing.plan(dict(tokens), None, 0.9, 2.0), max(len((x or "").split()) for _, x, *_ in docs)
+    (_, budgets), longest = brute.plan(dict(tokens), None, 0.9, 2.0), max(len((x or "").split()) for _, x, *_ in docs)
     spent, seen = Counter(), Counter()
     for r in queries.op2_temperature_mix(spark, top).collect():
         spent[r.source] += r.n_tokens
         seen[r.doc_id, r.mix_epoch] += 1
-    assert all(b - longest < spent[s] <= b for s, b in made.budgets.items())
+    assert all(b - longest < spent[s] <= b for s, b in budgets.items())
     assert set(seen.values()) == {1} and {d for d, e in seen if e == 0} == {d for d, *_ in docs}
 
 

@@ -66,6 +66,12 @@ def test_a_key_of_many_rows_spreads_over_files(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     path = binout.write_records(df, f"file://{tmp_path}/h", vocabulary("byte_bpe_50k.json"), end_id=0, files=8)
     files = json.loads((tmp_path / "h" / "manifest.json").read_text())["files"]
+    ranged = binout.read_records(spark, path, range_bytes=500)  # several tasks read one file
+    assert ranged.rdd.getNumPartitions() > 2 * len(files)
+    assert Counter(map(tuple, ranged.collect())) == Counter(map(tuple, binout.read_records(spark, path).collect())) == Counter(map(tuple, binout.read_records(spark, path, seed=1, range_bytes=500).collect()))
+    sized = binout.write_records(df, f"file://{tmp_path}/s", vocabulary("byte_bpe_50k.json"), end_id=0, file_bytes=1000)
+    assert len(json.loads((tmp_path / "s" / "manifest.json").read_text())["files"]) >= 8
+    assert Counter((r.start, r.ids) for r in binout.read_records(spark, sized).collect()) == Counter((r.start, r.ids) for r in binout.read_records(spark, path).collect())
     assert sum(f["records"] for f in files) == len(rows) and max(f["records"] for f in files) < 700
     keys = [r.key for r in sorted(binout.read_records(spark, path).collect(), key=lambda r: r.start)]
     assert keys == sorted(k for k, _ in rows)
@@ -175,11 +181,11 @@ def test_scaled_vectors(spark):
 RULES = [urls.UrlRule("allow", "org"), urls.UrlRule("block", "example.org", "/es/"), urls.UrlRule("block", "example.org", "/en/1"), urls.UrlRule("allow", "com", "/fr/"), urls.UrlRule("block", "com", "/de/"), urls.UrlRule("block", "a.com", ""), urls.UrlRule("allow", "a.com", "/x/y")]
 
 
-@pytest.mark.parametrize("most", [100, 0])
+@pytest.mark.parametrize("most", [10**6, 0])
 def test_urls_against_all_rules(spark, most):
     tried = [None, "", "no scheme", "http://", "HTTP://Example.ORG/es/1", "http://xexample.org/es/", "https://m.example.org/en/123?q#f", "http://org", "http://b.com/de/", "http://b.com?de/", "http://a.com", "http://z.a.com/x/yz", "http://a.com/x", "a://b://c.org/", "http://b.com/de/", "http://e.org:80/"]
     df = spark.createDataFrame([(n, u, "old") for n, u in enumerate(tried)], "page_id long, url string, RULE string")
-    rows = urls.judge_urls(df, RULES, max_broadcast=most).collect()
+    rows = urls.judge_urls(df, RULES, max_bytes=most).collect()
     assert len(rows) == len(tried)
     for r in rows:
         u = r.url or ""
