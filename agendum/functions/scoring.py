@@ -58,6 +58,27 @@ def trip_urgency(base: Column, start: Column, end: Column, as_of: Column, cancel
     return out.when((days_end < 0) | (start.isNotNull() & (days_start > HORIZON)), None).otherwise(rank)
 
 
+def trip_state(base: Column, start: Column, end: Column, as_of: Column, cancelled: Column | None = None) -> Column:
+    """struct(score, motif): trip_urgency with the reason why it is null; "shown" where it is not."""
+    last, first = F.coalesce(end, start), F.coalesce(start, end)
+    no = F.coalesce(cancelled, F.lit(False)) if cancelled is not None else F.lit(False)
+    motif = F.when(no, "cancelled").when(base.isNull(), "not scored").when(base < FLOOR, "below the floor").when(last.isNull(), "shown")
+    motif = motif.when(F.datediff(last, as_of) < 0, "over").when(start.isNotNull() & (F.datediff(first, as_of) > HORIZON), "too far ahead").otherwise("shown")
+    return F.struct(trip_urgency(base, start, end, as_of, cancelled).alias("score"), motif.alias("motif"))
+
+
+def reasons(detail: Column, least: int) -> Column:
+    """"criterion: points" of a map's criteria with least points and more, by name."""
+    entries = F.filter(F.array_sort(F.map_entries(detail)), lambda e: e["value"] >= least)
+    return F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string")))
+
+
+def language_access(text: Column, signs: list[tuple[str, int]]) -> Column:
+    """Points of the first sign (pattern, points) that the text holds, case aside; 0 for none."""
+    low = F.lower(text)
+    return F.coalesce(*[F.when(low.rlike(pattern), F.lit(points)) for pattern, points in signs], F.lit(0))
+
+
 def front_page(row: dict[str, Column], as_of: Column) -> Column:
     """struct(score, reason): the first gate that fails names the reason and leaves the score null.
 

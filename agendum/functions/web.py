@@ -39,6 +39,25 @@ def is_site_root(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-z]+://[^/?#]+([^?#]*)", 1).rlike(r"^/?(?:[a-z]{2}/?)?(?:index\.\w+)?$")
 
 
+def permalink_side(url: Column, languages: list[str], default: str) -> Column:
+    """The language whose code is the first segment of the path, else the default."""
+    first = F.regexp_extract(url, r"^[a-z]+://[^/?#]+/([a-z]{2})(?:/|$)", 1)
+    return F.when(first.isin(*languages), first).otherwise(default)
+
+
+def translated_from(url: Column) -> Column:
+    """struct(parent, lang) of a pseudo-URL translated:id:lang; nulls for others."""
+    pattern = r"^translated:(\d+):([a-z]{2})$"
+    return F.struct(F.regexp_extract(url, pattern, 1).try_cast("long").alias("parent"), F.nullif(F.regexp_extract(url, pattern, 2), F.lit("")).alias("lang"))
+
+
+def hreflang_verdict(own: Column, alternates: Column, twin: Column) -> Column:
+    """What a page's alternates (array of lang, href) say of its twin's link: linked, missing, elsewhere or itself; own and twin: struct(lang, href)."""
+    named = F.filter(alternates, lambda a: a["lang"] == twin["lang"])
+    there = F.exists(named, lambda a: a["href"] == twin["href"])
+    return F.when(there, "linked").when(F.exists(named, lambda a: a["href"] == own["href"]), "itself").when(F.size(named) > 0, "elsewhere").otherwise("missing")
+
+
 def unescaped(c: Column) -> Column:
     for entity, char in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))

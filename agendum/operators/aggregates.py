@@ -66,8 +66,8 @@ def halves_by_group(df: DataFrame, group: str, order: list[str], value: str, lea
     return ranked.groupBy(group).agg(F.max("n").alias("n"), F.avg(value).alias("mean"), F.avg(F.when(old, F.col(value))).alias("older"), F.avg(F.when(~old, F.col(value))).alias("newer"))
 
 
-def first_reason(reasons: list[tuple[str, Column]], otherwise: str) -> Column:
-    """The name of the first test that holds."""
+def first_reason(reasons: list[tuple[str, Column]], otherwise: str | None) -> Column:
+    """The name of the first test that holds, else otherwise (null for None)."""
     return F.coalesce(*[F.when(test, F.lit(name)) for name, test in reasons], F.lit(otherwise))
 
 
