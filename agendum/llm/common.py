@@ -103,11 +103,13 @@ def _delete(paths: list[str]) -> None:
 def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int, most: int = 10_000) -> DataFrame:
     """left joined with right, which has one row for each key and the number n of left rows with it; rows: of left in all.
 
-    Keys of more than rows / most left rows (100 at least), so at most `most` of them, are broadcast; left rows of
-    these stay where they are and no task gets a hot key. The rest meet by a shuffle of keys with few rows each.
+    Keys of more than rows / most left rows (100 at least), so at most `most` of them, are broadcast; left rows of these
+    stay where they are and no task gets a hot key. The most frequent key always counts as one, so the plan is the same
+    at every size. The rest meet by a shuffle of keys with few rows each.
     """
     many = max(100, rows // most)
-    hot, cold = F.broadcast(right.filter(F.col("n") > many).drop("n")), right.filter(F.col("n") <= many).drop("n")
+    first = right.agg(F.max_by(F.struct(*right.columns), F.struct("n", key)).alias("r")).select("r.*").filter(F.col("n") <= many)
+    hot, cold = F.broadcast(right.filter(F.col("n") > many).unionByName(first).drop("n")), right.filter(F.col("n") <= many).drop("n")
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
 
 

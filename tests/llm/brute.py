@@ -6,7 +6,8 @@ from math import ceil, log
 def weights(tokens, alpha):
     total = sum(tokens.values())
     raw = {s: (t / total) ** alpha for s, t in tokens.items() if t}
-    return {s: x / sum(raw.values()) for s, x in raw.items()}
+    norm = sum(raw.values())
+    return {s: x / norm for s, x in raw.items()}
 
 
 def entropy(w):
@@ -25,8 +26,9 @@ def plan(tokens, budget=None, target=None, limit=None):
     some = {s: t for s, t in tokens.items() if t}
     if not some:
         return 1.0, dict.fromkeys(tokens, 0)
-    spent = lambda a: budget if budget is not None else ceil(max(t / weights(some, a)[s] for s, t in some.items()) - 1e-6)
-    most = lambda a: max(spent(a) * w / some[s] for s, w in weights(some, a).items())
+    whole = lambda w: ceil(max(t / w[s] for s, t in some.items()) - 1e-6)
+    spent = lambda a: budget if budget is not None else whole(weights(some, a))
+    most = lambda a: spent(a) * max(w / some[s] for s, w in weights(some, a).items())
     alpha = 1.0
     if target is not None and len(some) > 1 and entropy(weights(some, 1.0)) < target * log(len(some)):
         alpha = halved(lambda a: entropy(weights(some, a)) >= target * log(len(some)))[0]
