@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed parameters that follow readers about.
-TRACKING = r"^(utm_[a-z]+|gclid|fbclid|mc_cid|mc_eid|igshid|ref)="
+TRACKING = (
+    r"^(utm_[a-z]+|hsa_[a-z]+|gclid|gclsrc|dclid|gbraid|wbraid|srsltid|fbclid|igshid|igsh|msclkid|yclid|twclid|ttclid|li_fat_id|mc_cid|mc_eid|mkt_tok|_hsenc|_hsmi|vero_id|oly_anon_id|oly_enc_id|wickedid|rb_clickid|s_cid|spm|ref)="
+)
 #: Fixed entities and their characters; the ampersand comes last.
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&rsquo;", "’"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&amp;", "&")]
 

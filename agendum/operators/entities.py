@@ -101,6 +101,12 @@ def absorb(new: DataFrame, stock: DataFrame, pairs: DataFrame, online: str) -> D
     return new.join(best, new["id"] == best["a"]).select(new["id"].alias("id"), "target")
 
 
+def absorbed_at(new: DataFrame, stock: DataFrame, place: list[str], online: str) -> DataFrame:
+    """absorb() where every stock row of a place would do: the best of each place is found first, so no pairs are made."""
+    best = stock.groupBy(*place).agg(F.min_by("id", F.struct(F.coalesce(F.col(online), F.lit(False)), "id")).alias("target"))
+    return new.join(best, place).select("id", "target")
+
+
 def best_family(rows: DataFrame, group: str, family: str, measures: list[str]) -> DataFrame:
     """The family to keep in each group: the greatest measures in order, then the smallest id."""
     sums = rows.groupBy(group, family).agg(*[F.sum(m).alias(m) for m in measures], F.min("id").alias("least_id"))

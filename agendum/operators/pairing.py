@@ -131,9 +131,13 @@ def live_duplicates(events: DataFrame, stop: list[str]) -> DataFrame:
     rows = events.select("id", "title", "territory", "start", "end")
     story = entities.token_pairs(rows, "id", words, ["territory"], 2).select("a", "b")
     named = entities.token_pairs(rows, "id", tx.proper_nouns(F.col("title")), ["territory"], 1)
-    equal = rows.select("id", "territory", tx.folded_key(F.col("title")).alias("t"))
-    first = equal.groupBy("territory", "t").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1 and t <> ''")
-    same = equal.join(first, ["territory", "t"]).filter("id <> a").select(F.col("a"), F.col("id").alias("b"))
+    # Rows of one title: each is linked to the one of them that has lasted longest when it starts, and all to one without a date.
+    equal = rows.withColumns({"t": tx.folded_key(F.col("title")), "until": F.coalesce("end", "start")}).filter("t <> ''")
+    title = Window.partitionBy("territory", "t")
+    before = title.orderBy(F.asc_nulls_first("start"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    lasting = equal.withColumn("b", F.max_by("id", F.struct("until", "id")).over(before)).withColumn("c", F.min(F.when(F.col("start").isNull(), F.col("id"))).over(title))
+    linked = lasting.select("id", F.explode(F.array("b", "c")).alias("b")).filter("b is not null and b <> id")
+    same = linked.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
     pairs = story.unionByName(named).unionByName(same).distinct()
     side = lambda p: rows.select(F.col("id").alias(p), F.col("title").alias(f"t{p}"), F.col("start").alias(f"s{p}"), F.col("end").alias(f"e{p}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")

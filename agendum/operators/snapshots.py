@@ -51,18 +51,23 @@ def route(score: Column, out_of_scope: Column, not_event: Column, professional:
 def fold_decisions(log: DataFrame, key: str, kind: str, order: list[str]) -> DataFrame:
     """State of each key after its signals, escalations and resolutions in order: status, seen, reopened.
 
-    A signal on a resolved key reopens it and clears its escalation; escalations and resolutions count on open keys only.
+    A signal on a resolved key reopens it and clears its escalation; escalations and resolutions count on open keys only. A key's
+    steps are sorted, never gathered in one row.
     """
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(kind).alias("k"))))
-    start = F.struct(F.lit("none").alias("status"), F.lit(0).alias("seen"), F.lit(0).alias("reopened"))
-    open_ = lambda s: s["status"].isin("open", "escalated")
-
-    def step(s, e):
-        signal, up, done = e["k"] == "signal", e["k"] == "escalate", e["k"] == "resolve"
-        status = F.when(signal & ~open_(s), "open").when(up & open_(s), "escalated").when(done & open_(s), "resolved").otherwise(s["status"])
-        return F.struct(status.alias("status"), (s["seen"] + signal.cast("int")).alias("seen"), (s["reopened"] + (signal & (s["status"] == "resolved")).cast("int")).alias("reopened"))
-
-    return log.groupBy(key).agg(F.aggregate(steps, start, step).alias("s")).select(key, "s.*")
+    signal, up, done = (F.col(kind) == k for k in ("signal", "escalate", "resolve"))
+    order_ = Window.partitionBy(key).orderBy(*order)
+    before = order_.rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*order)
+    rows = log.withColumns({
+        "signals_before": F.count_if(signal).over(before), "turn_before": F.last(F.when(signal | done, F.col(kind)), ignorenulls=True).over(before),
+        "resolutions": F.count_if(done).over(order_.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    })
+    # What stands between two resolutions is folded first: the last such part tells the status.
+    reopens = signal & (F.col("turn_before") == "resolve") & (F.col("signals_before") > 0)
+    parts = rows.groupBy(key, "resolutions").agg(F.count_if(signal).alias("seen"), F.count_if(reopens).alias("reopened"), F.min(F.when(signal, at)).alias("opened"), F.max(F.when(up, at)).alias("raised"))
+    folded = parts.groupBy(key).agg(F.sum("seen").cast("int").alias("seen"), F.sum("reopened").cast("int").alias("reopened"), F.max_by(F.struct("opened", "raised"), "resolutions").alias("last"))
+    status = F.when(F.col("seen") == 0, "none").when(F.col("last.opened").isNull(), "resolved").when(F.col("last.raised") > F.col("last.opened"), "escalated").otherwise("open")
+    return folded.select(key, status.alias("status"), "seen", "reopened")
 
 
 def retain_last(df: DataFrame, order: list[str], n: int = 14) -> DataFrame:

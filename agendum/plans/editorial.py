@@ -133,8 +133,32 @@ QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY s.live, s.id) = 1
 def absorptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size", (F.col("p_type") == "PROMO").alias("online"))
     new, stock = rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0")
-    pairs = new.withColumnRenamed("id", "a").drop("online").join(stock.withColumnRenamed("id", "b").drop("online"), ["p_brand", "p_size"]).select("a", "b")
-    return entities.absorb(new, stock, pairs, "online")
+    return entities.absorbed_at(new, stock, ["p_brand", "p_size"], "online")
+
+
+_DOUBLES = """
+WITH RECURSIVE p AS (
+  SELECT p_partkey AS id, p_brand AS territory, lower(p_name || ' ' || p_type) || CASE p_partkey % 3 WHEN 0 THEN ' 1997' WHEN 1 THEN ' 1998' ELSE '' END AS title,
+    CASE WHEN p_partkey % 50 <> 7 THEN DATE '1997-01-01' + CAST(p_partkey * 37 % 400 AS INTEGER) END AS s, CASE WHEN p_partkey % 50 <> 7 THEN DATE '1997-01-01' + CAST(p_partkey * 37 % 400 + p_partkey % 10 AS INTEGER) END AS e FROM part),
+w AS (SELECT *, list_distinct(list_filter(string_split(title, ' '), lambda x: length(x) >= 4)) AS w, regexp_extract_all(title, '(?:19|20)[0-9]{2}') AS y FROM p),
+g AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.territory = b.territory AND a.id < b.id
+  WHERE (a.title = b.title OR (len(list_intersect(a.w, b.w)) >= 3 AND NOT (len(a.y) > 0 AND len(b.y) > 0 AND a.y <> b.y)))
+    AND NOT coalesce(greatest(b.s - a.e, a.s - b.e) > 14, false)),
+l AS (SELECT a, b FROM g UNION ALL SELECT b, a FROM g),
+c(node, root) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM l UNION SELECT l.b, min(c.root) FROM c JOIN l ON c.node = l.a JOIN recurring.c AS own ON own.node = l.b GROUP BY l.b, own.root HAVING min(c.root) < own.root),
+m AS (SELECT root, id, s, max(coalesce(e, s)) OVER (PARTITION BY root ORDER BY s NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c JOIN p ON node = id)
+SELECT root, CAST(sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY root ORDER BY s NULLS FIRST, id) AS BIGINT) AS part, id FROM m
+"""
+
+
+@query(_DOUBLES)
+def live_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    title = F.concat(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.when(key % 3 == 0, " 1997").when(key % 3 == 1, " 1998").otherwise(""))
+    start = F.when(key % 50 != 7, F.date_add(_day("1997-01-01"), (key * 37 % 400).cast("int")))
+    rows = table(spark, sf_dir, "part").select(key.alias("id"), title.alias("title"), F.col("p_brand").alias("territory"), start.alias("start"), F.date_add(start, (key % 10).cast("int")).alias("end"))
+    return pairing.live_duplicates(rows, [])
 
 
 @query("""

@@ -29,13 +29,13 @@ _KEY = f"trim(regexp_replace({_FOLDED}, '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(f"""
-SELECT md5({_KEY}) AS folded, count(*) AS n, min(doc_id) AS first_doc, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs
-FROM documents GROUP BY 1 HAVING count(*) > 1
+SELECT folded, doc_id, n, first_doc FROM (SELECT md5({_KEY}) AS folded, doc_id, count(*) OVER (PARTITION BY md5({_KEY})) AS n, min(doc_id) OVER (PARTITION BY md5({_KEY})) AS first_doc FROM documents) WHERE n > 1
 """)
 def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each member, so that no group is gathered."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.folded_key(F.col("text"))).alias("folded"))
-    groups = docs.groupBy("folded").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.sort_array(F.collect_list("doc_id")).alias("d")).filter("n > 1")
-    return groups.select("folded", "n", "first_doc", F.array_join(F.transform("d", lambda x: x.cast("string")), ",").alias("docs"))
+    groups = docs.groupBy("folded").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+    return docs.join(groups, "folded").select("folded", "doc_id", "n", "first_doc")
 
 
 _HITS = {n: f"len(list_filter(string_split({_KEY}, ' '), lambda w: w IN ({', '.join(repr(w) for w in lex)})))" for n, lex in tx.FUNCTION_WORDS.items()}
@@ -114,10 +114,10 @@ def url_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(web.url_family(F.col("url")).alias("family")).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""
+@query(rf"""
 WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS bare FROM pages),
 k AS (SELECT page_id, regexp_replace(bare, '\?.*$', '') AS base,
-  array_to_string(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|mc_cid|mc_eid|igshid|ref)=')), '&') AS q FROM u)
+  array_to_string(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '{web.TRACKING}')), '&') AS q FROM u)
 SELECT page_id, CASE WHEN q = '' THEN base ELSE base || '?' || q END AS clean_url FROM k
 """)
 def clean_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
