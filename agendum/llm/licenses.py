@@ -37,6 +37,15 @@ TEMPLATES = {
     "licensed under cc by nd 4 0": "cc-by-nd-4.0",
     "licensed under a creative commons attribution 4 0 international license": "cc-by-4.0",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "you may not use this file except in compliance with the license": "apache-2.0",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license": "epl",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable": "zlib",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "no rights reserved dedicated to the public domain under cc0": "cc0",
@@ -83,6 +92,18 @@ class Index:
         return found
 
 
+def cut_templates(templates: dict[str, str], words: int) -> dict[str, str]:
+    """Templates of more than so many words in even parts of words at most, each with the whole one's label; a part that
+    two templates share keeps the first one's."""
+    out: dict[str, str] = {}
+    for template, label in templates.items():
+        parts = template.split()
+        n = max(1, ceil(len(parts) / words))
+        for i in range(n):
+            out.setdefault(" ".join(parts[len(parts) * i // n : len(parts) * (i + 1) // n]), label)
+    return out
+
+
 def find_phrases(terms: list[str], phrases: list[str]) -> list[tuple[int, str]]:
     """(place, phrase) of each phrase's terms standing one after another."""
     held = set(terms)
@@ -105,13 +126,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     every half block, so that any half block of terms lies in one; each block that meets a template within threshold
     makes a span, and its label counts unless another template of the block shares those terms and more. n_base counts all places of phrases, first_word and last_word are the first and last (null: none);
     labels are distinct, sorted and joined by commas; score is the highest containment of any template, 1 with a phrase.
-    A null or empty text has no terms and empty labels; repeated rows are scanned alike; columns of the added names are
-    replaced; an empty table stays empty. Templates travel with the tasks, so their number must stay small (thousands).
+    A template of more than half a block, a whole license say, is looked for in parts that fit there. A null or empty text
+    has no terms and empty labels; repeated rows are scanned alike; columns of the added names are replaced; an empty table
+    stays empty. Templates travel with the tasks, so their number must stay small (thousands).
     """
-    templates, phrases = templates or TEMPLATES, phrases or PHRASES
+    templates, phrases = cut_templates(templates or TEMPLATES, block // 2), phrases or PHRASES
     common.ship(docs.sparkSession)
-    if block < 2 * max(len(t.split()) for t in templates):
-        raise ValueError("a block must hold the longest template twice")
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     kept = common.without(docs, added)
     vocabulary = sorted({w for t in templates for w in t.split()})

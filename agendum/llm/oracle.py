@@ -1,6 +1,6 @@
 """The queries' rows in DuckDB's SQL."""
 
-from agendum.llm.licenses import PHRASES, TEMPLATES
+from agendum.llm.licenses import PHRASES, TEMPLATES, cut_templates
 
 TOP_K = """
 WITH v AS (
@@ -82,7 +82,7 @@ def _rows(pairs, numbered: bool) -> str:
     return ", ".join("(" + (f"{n}, " if numbered else "") + f"'{a}', '{b}')" for n, (a, b) in enumerate(pairs))
 
 
-LICENSES = _LICENSES.format(phrases=_rows(PHRASES.items(), False), templates=_rows(TEMPLATES.items(), True))
+LICENSES = _LICENSES.format(phrases=_rows(PHRASES.items(), False), templates=_rows(cut_templates(TEMPLATES, 24).items(), True))
 
 ORACLE = {
     "op1_ball_tree_top_k": TOP_K,

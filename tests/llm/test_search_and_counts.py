@@ -218,6 +218,13 @@ def test_licenses(spark):
         assert {(s.start, s.label) for s in r.spans} == want
 
 
+def test_long_templates_are_looked_for_in_parts(spark):
+    long = " ".join(f"w{n}" for n in range(200))
+    assert " ".join(licenses.cut_templates({long: "own"}, 24)) == long and max(len(t.split()) for t in licenses.cut_templates({long: "own"}, 24)) <= 24
+    rows = licenses.scan(docs(spark, [long, "x " * 90 + long.upper() + " y" * 40, " ".join(long.split()[:60]), " ".join(long.split()[::12])], extra=False), {long: "own"}).collect()
+    assert sorted((r.text[:2], r.labels, r.score) for r in rows) == sorted([("w0", "own", 1.0), ("x ", "own", 1.0), ("w0", "own", 1.0), ("w0", "", 0.0)])
+
+
 def test_quality_counts_and_list(spark):
     texts = [*TEXTS, "a b c d e f g h " * 3, "one two three\none two three\n\n  \nfour # * |"]
     rows = quality.text_counts(docs(spark, texts)).collect()
