@@ -73,6 +73,11 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(unescaped(c), r"[\s\x{A0}]+", " "))
 
 
+def section_counts(html: Column, section: str, card: str) -> Column:
+    """How many card tags each section holds, in order; what stands before the first section is none."""
+    return F.transform(F.slice(F.split(html, rf"(?i)<{section}\b"), 2, 100_000), lambda s: F.regexp_count(s, F.lit(rf"(?i)<{card}\b")))
+
+
 def title(html: Column) -> Column:
     return F.trim(unescaped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 

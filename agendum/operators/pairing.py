@@ -145,3 +145,13 @@ def live_duplicates(events: DataFrame, stop: list[str]) -> DataFrame:
     edges = both.filter(alike & ~F.coalesce(tx.dates_incompatible(F.col("sa"), F.col("ea"), F.col("sb"), F.col("eb")), F.lit(False))).select("a", "b")
     groups = entities.components(edges).join(rows, F.col("node") == F.col("id"))
     return entities.period_groups(groups.select("root", "id", "start", "end"), "root", "id", "start", "end").select("root", "part", "id")
+
+
+def reclassified(rows: DataFrame, share: float) -> DataFrame:
+    """Rejected rows (online false) with the smallest online id of their territory whose title shares two words and that share
+    of the shorter one's. rows: id, title, territory, online. Titles meet by words, the rarest first."""
+    words = F.array_distinct(tx.words_of(F.col("title")))
+    met = entities.token_pairs(rows, "id", words, ["territory"], 2)
+    side = lambda p: rows.select(F.col("id").alias(p), F.size(words).alias(f"n{p}"), F.col("online").alias(f"o{p}"))
+    both = met.join(side("a"), "a").join(side("b"), "b").filter((F.col("oa") != F.col("ob")) & (F.col("shared") >= F.least("na", "nb") * share - 1e-9))
+    return both.groupBy(F.when(F.col("oa"), F.col("b")).otherwise(F.col("a")).alias("id")).agg(F.min(F.when(F.col("oa"), F.col("a")).otherwise(F.col("b"))).alias("online_id"))

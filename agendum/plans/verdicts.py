@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agendum.catalog import table
-from agendum.functions import catalogue, dates, verdicts
+from agendum.functions import catalogue, dates, verdicts, web
 from agendum.functions import editorial as ed
 from agendum.functions import text as tx
+from agendum.operators import pairing
 
 QUERIES, SQL = {}, {}
 
@@ -193,3 +194,38 @@ STEMS = [("fromage|fromagerie", "yes"), ("festa|fete", "no"), ("musica|musique",
 def kindred_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split("text", r"\|")
     return _phrases(spark, sf_dir, [t for t, _ in STEMS]).select("p_partkey", F.when(tx.same_root(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), "yes").otherwise("no").alias("kin"))
+
+
+FLEETING = [("Demain, grand bal ; demain encore.", "demain"), ("Stasera e domani", "stasera,domani"), ("Un bal chaque été", ""), ("Aujourd’hui la foire", "aujourd’hui")]
+
+
+@query(_said(FLEETING, "signs"))
+def perishable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _phrases(spark, sf_dir, [t for t, _ in FLEETING]).select("p_partkey", F.array_join(verdicts.perishable(F.col("text")), ",").alias("signs"))
+
+
+@query(f"SELECT ['linked', 'missing', 'elsewhere', 'itself'][id % 4 + 1] AS verdict, count(*) AS n FROM ({_DAYS}) GROUP BY 1")
+def hreflang_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages' alternates say of the links to their twins."""
+    kind, page = F.col("id") % 4, lambda lang, n: F.struct(F.lit(lang).alias("lang"), F.concat(F.lit("/"), n.cast("string")).alias("href"))
+    named = F.when(kind == 0, page("it", F.col("id") + 1)).when(kind == 1, page("de", F.col("id") + 1)).when(kind == 2, page("it", F.col("id") + 9)).otherwise(page("it", F.col("id")))
+    verdict = web.hreflang_verdict(page("fr", F.col("id")), F.array(page("fr", F.col("id")), named), page("it", F.col("id") + 1))
+    return _days(spark, sf_dir).groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""
+SELECT page_id, array_to_string(list_transform(string_split_regex(html, '(?i)<div\b')[2:], lambda s: len(regexp_extract_all(s, '(?i)<p\b'))), ',') AS cards FROM pages
+""")
+def section_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = web.section_counts(F.col("html"), "div", "p")
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(counts, lambda n: n.cast("string")), ",").alias("cards"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS id, p_brand, p_size > 25 AS online, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part)
+SELECT r.id AS id, min(o.id) AS online_id FROM p r JOIN p o ON r.p_brand = o.p_brand AND NOT r.online AND o.online AND len(list_intersect(r.w, o.w)) >= 2 AND len(list_intersect(r.w, o.w)) * 10 >= least(len(r.w), len(o.w)) * 9 GROUP BY r.id
+""")
+def rejected_but_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected rows whose title an online row of the territory has in nine words of ten."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_brand").alias("territory"), (F.col("p_size") > 25).alias("online"))
+    return pairing.reclassified(rows, 0.9)
