@@ -70,10 +70,16 @@ def longest_name_in(df: DataFrame, text: Column, key: str, names: DataFrame, nam
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
     gaz = names.select(F.col(name).alias("found_name"), plain(F.col(name)).alias("run")).filter("run <> ''").distinct()
     sizes = [r[0] for r in gaz.select(F.size(F.split("run", " "))).distinct().collect()]  # a few numbers
-    run = lambda n: lambda w: F.transform(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - (n - 1))), lambda _, i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
-    words = F.split(plain(text), " ")
-    runs = df.select(F.col(key), F.explode(let(words, lambda w: F.array_distinct(F.concat(*[run(n)(w) for n in sizes], F.array().cast("array<string>"))))).alias("run"))
-    return runs.join(small(gaz), "run").groupBy(key).agg(F.max_by("found_name", F.struct(F.length("found_name"), "found_name")).alias("found_name"))
+    heads = [r[0] for r in gaz.select(F.substring_index("run", " ", 1)).distinct().limit(1001).collect()]
+    runs_at = lambda w, i: F.array(*[F.when(i + n <= F.size(w), F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])) for n in sizes])
+
+    def runs(w: Column) -> Column:
+        """The runs from every word on; where names begin with a thousand words at most, from these words on only."""
+        places = F.transform(w, lambda x, i: F.when(x.isin(*heads), i) if len(heads) <= 1000 else i)
+        return F.array_distinct(F.flatten(F.transform(F.filter(places, lambda i: i.isNotNull()), lambda i: runs_at(w, i))))
+
+    found = df.select(F.col(key), F.explode(let(F.split(plain(text), " "), runs)).alias("run")).filter("run is not null")
+    return found.join(small(gaz), "run").groupBy(key).agg(F.max_by("found_name", F.struct(F.length("found_name"), "found_name")).alias("found_name"))
 
 
 def containing(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str, run: int = 8, block: int = 1000) -> DataFrame:

@@ -127,22 +127,27 @@ def group_reasons(edges: DataFrame, members: DataFrame, group: str) -> DataFrame
 def live_duplicates(events: DataFrame, stop: list[str]) -> DataFrame:
     """Groups of the catalogue: titles that tell one story or are equal when folded, in one territory, with dates and years
     that agree; chains close, and groups part where their periods do not meet. events: id, title, territory, start, end (dates)."""
-    words = tx.significant(F.col("title"), stop)
-    rows = events.select("id", "title", "territory", "start", "end")
-    story = entities.token_pairs(rows, "id", words, ["territory"], 2).select("a", "b")
-    named = entities.token_pairs(rows, "id", tx.proper_nouns(F.col("title")), ["territory"], 1)
+    nouns = F.array_except(tx.proper_nouns(F.col("title")), F.array(*[F.lit(w) for w in stop]).cast("array<string>"))
+    rows = events.select(
+        "id", "territory", "start", "end", tx.folded_key(F.col("title")).alias("t"), tx.significant(F.col("title"), stop).alias("words"), nouns.alias("nouns"), tx.years_of(F.col("title")).alias("years"),
+    )
+    story = entities.token_pairs(rows, "id", F.col("words"), ["territory"], 3).select("a", "b")
+    named = entities.token_pairs(rows, "id", F.col("nouns"), ["territory"], 1)
     # Rows of one title: each is linked to the one of them that has lasted longest when it starts, and all to one without a date.
-    equal = rows.withColumns({"t": tx.folded_key(F.col("title")), "until": F.coalesce("end", "start")}).filter("t <> ''")
+    equal = rows.withColumn("until", F.coalesce("end", "start")).filter("t <> ''")
     title = Window.partitionBy("territory", "t")
     before = title.orderBy(F.asc_nulls_first("start"), "id").rowsBetween(Window.unboundedPreceding, -1)
     lasting = equal.withColumn("b", F.max_by("id", F.struct("until", "id")).over(before)).withColumn("c", F.min(F.when(F.col("start").isNull(), F.col("id"))).over(title))
     linked = lasting.select("id", F.explode(F.array("b", "c")).alias("b")).filter("b is not null and b <> id")
     same = linked.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
     pairs = story.unionByName(named).unionByName(same).distinct()
-    side = lambda p: rows.select(F.col("id").alias(p), F.col("title").alias(f"t{p}"), F.col("start").alias(f"s{p}"), F.col("end").alias(f"e{p}"))
+    side = lambda p: rows.select(F.col("id").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("t", "words", "nouns", "years", "start", "end")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    alike = (tx.folded_key(F.col("ta")) == tx.folded_key(F.col("tb"))) | (tx.same_story(F.col("ta"), F.col("tb"), stop) & ~tx.years_incompatible(F.col("ta"), F.col("tb")))
-    edges = both.filter(alike & ~F.coalesce(tx.dates_incompatible(F.col("sa"), F.col("ea"), F.col("sb"), F.col("eb")), F.lit(False))).select("a", "b")
+    tells = F.arrays_overlap("nouns_a", "nouns_b") | (F.size(F.array_intersect("words_a", "words_b")) >= 3)
+    years_apart = (F.size("years_a") > 0) & (F.size("years_b") > 0) & ~F.arrays_overlap("years_a", "years_b")
+    alike = (F.col("t_a") == F.col("t_b")) | (tells & ~years_apart)
+    apart = tx.dates_incompatible(F.col("start_a"), F.col("end_a"), F.col("start_b"), F.col("end_b"))
+    edges = both.filter(alike & ~F.coalesce(apart, F.lit(False))).select("a", "b")
     groups = entities.components(edges).join(rows, F.col("node") == F.col("id"))
     return entities.period_groups(groups.select("root", "id", "start", "end"), "root", "id", "start", "end").select("root", "part", "id")
 
