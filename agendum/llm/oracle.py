@@ -84,10 +84,80 @@ def _rows(pairs, numbered: bool) -> str:
 
 LICENSES = _LICENSES.format(phrases=_rows(PHRASES.items(), False), templates=_rows(cut_templates(TEMPLATES, 24).items(), True))
 
+AUDIT = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY x) AS least FROM t),
+q AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(words) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN w.doc_id > least THEN 'E' ELSE '' END) AS fails
+  FROM w LEFT JOIN q ON w.doc_id = q.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM m GROUP BY part, fails),
+f(letter) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT '' AS names UNION ALL SELECT names || letter FROM o JOIN f ON position(letter IN names) = 0),
+s AS (SELECT names AS filter_order, i AS step, names[i] AS own, names[1:i - 1] AS before FROM (SELECT names, unnest(range(1, 6)) AS i FROM o WHERE length(names) = 5)),
+j AS (
+  SELECT c.*, s.*, position(own IN fails) > 0 AS own_fails, length(translate(fails, before, '')) < length(fails) AS gone FROM c, s),
+e AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT own_fails), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (NOT gone AND own_fails), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (gone AND own_fails), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (fails = own), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(n_good) FILTER (NOT gone AND own_fails), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(n_toxic) FILTER (NOT gone AND own_fails), 0) AS BIGINT) AS toxic_lost
+  FROM j GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM e
+"""
+
+#: From the rows l (key, pos, n, node) of trees the nodes of all levels, then for each run of a level what stands left and right of a node.
+_TREE = """
+nodes{k} AS (
+  SELECT tree, 0 AS level, pos, n, node FROM leaves{k}
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, max((n + 7) // 8), sha256(string_agg(node, '' ORDER BY pos)) FROM nodes{k} WHERE n > 1 GROUP BY tree, level, pos // 8),
+sides{k} AS (
+  SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes{k} a JOIN nodes{k} b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY a.tree, a.level, a.pos)"""
+
+MANIFEST = r"""
+WITH RECURSIVE bits AS (
+  SELECT doc_id, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(d) + 1), lambda i: CAST(ascii(d[i]) AS BIGINT))), lambda crc, x:
+    list_reduce(list_prepend(xor(crc, x), [CAST(0 AS BIGINT) for k in range(8)]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc
+  FROM (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS d FROM documents WHERE doc_id IS NOT NULL)),
+d AS (
+  SELECT documents.*, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed
+  FROM documents LEFT JOIN bits ON documents.doc_id = bits.doc_id),
+h AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree, sha256(head || {text}) AS node, sha256(head || {changed}) AS now
+  FROM (SELECT *, {doc_id} || {source} || {lang} || {n_chars} AS head FROM d)),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM h),
+leaves0 AS (SELECT tree, pos, n, node FROM leaves),{parts},
+subs AS (SELECT tree AS part, node FROM nodes0 WHERE n = 1),
+leaves1 AS (SELECT '' AS tree, row_number() OVER (ORDER BY encode(part)) - 1 AS pos, count(*) OVER () AS n, node, part FROM subs),{whole},
+walk0 AS (
+  SELECT doc_id, tree, node AS leaf, 0 AS level, pos, '' AS proof, now AS folded FROM leaves
+  UNION ALL
+  SELECT doc_id, w.tree, leaf, w.level + 1, w.pos // 8, proof || l || r, sha256(l || folded || r) FROM walk0 w JOIN sides0 s ON w.tree = s.tree AND w.level = s.level AND w.pos = s.pos),
+walk1 AS (
+  SELECT doc_id, w.tree, leaf, 0 AS level, p.pos, proof, folded FROM walk0 w JOIN nodes0 t ON w.tree = t.tree AND w.level = t.level AND w.pos = t.pos AND t.n = 1 JOIN leaves1 p ON p.part = w.tree
+  UNION ALL
+  SELECT doc_id, w.tree, leaf, w.level + 1, w.pos // 8, proof || l || r, sha256(l || folded || r) FROM walk1 w JOIN sides1 s ON w.level = s.level AND w.pos = s.pos)
+SELECT doc_id, leaf, s.node AS subroot, t.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.node AS verified
+FROM walk1 w JOIN nodes1 t ON w.level = t.level AND w.pos = t.pos AND t.n = 1 JOIN subs s ON s.part = w.tree
+"""
+
+
+def _field(c: str) -> str:
+    return f"(CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END)"
+
+
+MANIFEST = MANIFEST.format(parts=_TREE.format(k=0), whole=_TREE.format(k=1), **{c: _field(c) for c in ("doc_id", "source", "lang", "n_chars", "text", "changed")})
+
 ORACLE = {
     "op1_ball_tree_top_k": TOP_K,
     "op3_license_scan": LICENSES,
     "op6_url_filter": URLS,
     "op8_ngram_jaccard": JACCARD,
     "op10_substring_dedup": REPEATS,
+    "op11_filter_audit": AUDIT,
+    "op13_merkle_manifest": MANIFEST,
 }

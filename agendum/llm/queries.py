@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agendum.llm import binout, common, licenses, mixing, ngramjoin, packing, quality, substring, tokencount, topk, urls
+from agendum.llm import binout, common, filteraudit, licenses, merkle, mixing, ngramjoin, packing, quality, simhash, substring, tokencount, topk, urls
 from agendum.llm.common import table
 from agendum.llm.oracle import ORACLE  # noqa: F401
 from agendum.llm.tokens import vocabulary
@@ -68,11 +68,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filteraudit.audit(filteraudit.failing_rows(docs, table(spark, sf_dir, "labels")), ["A", "B", "C", "D", "E"])
+
+
+def op12_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    touched = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    now = {"text": F.when(touched, common.ascii_lower(F.col("text"))).otherwise(F.col("text"))}
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], changed=now)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ball_tree_top_k, op2_temperature_mix, op3_license_scan, op4_token_records, op5_token_counts,
         op6_url_filter, op7_best_fit_packing, op8_ngram_jaccard, op9_quality_rules, op10_substring_dedup,
+        op11_filter_audit, op12_simhash_components, op13_merkle_manifest,
     )
 }
 
