@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agendum.functions import text as tx
+from agendum.functions.text import whole
 from agendum.operators.joins import small
 
 
 def _any_word(words: list[str]) -> str:
-    return r"\b(?:" + "|".join(sorted((re.escape(w) for w in words), key=len, reverse=True)) + r")\b"
+    return whole("|".join(sorted((re.escape(w) for w in words), key=len, reverse=True)))
 
 
 def excluded(title: Column, body: Column, everywhere: list[str], in_title: list[str]) -> Column:
@@ -106,13 +107,13 @@ def reporting_tense(text: Column, past: str, upcoming: str, around: int = 80) ->
 
 def acronyms(text: Column, known: dict[str, str]) -> Column:
     """Known acronyms that stand in the text without their long form."""
-    return F.array_compact(F.array(*[F.when(text.rlike(rf"\b{re.escape(a)}\b") & ~F.lower(text).contains(long.lower()), F.lit(a)) for a, long in known.items()]))
+    return F.array_compact(F.array(*[F.when(text.rlike(whole(re.escape(a))) & ~F.lower(text).contains(long.lower()), F.lit(a)) for a, long in known.items()]))
 
 
 def expanded_once(text: Column, known: dict[str, str]) -> Column:
     """The first mention of each acronym followed by its long form in brackets, unless the text has it."""
     for a, long in known.items():
-        text = F.when(F.lower(text).contains(long.lower()), text).otherwise(F.regexp_replace(text, rf"(?s)^(.*?)\b{re.escape(a)}\b", f"$1{a} ({long})"))
+        text = F.when(F.lower(text).contains(long.lower()), text).otherwise(F.regexp_replace(text, rf"(?s)^(.*?){whole(re.escape(a))}", f"$1{a} ({long})"))
     return text
 
 

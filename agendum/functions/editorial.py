@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agendum.functions import dates
 from agendum.functions import text as tx
+from agendum.functions.text import whole
 
 
 def without_boilerplate(text: Column, patterns: list[str]) -> Column:
@@ -26,7 +27,7 @@ def polished(text: Column, french: bool = True) -> Column:
 def bold_once(html: Column, words: list[str]) -> Column:
     """The first bare mention of each word in <strong>, unless it has one."""
     for w in words:
-        html = F.when(html.rlike(rf"(?i)<strong>[^<]*\b{w}\b"), html).otherwise(F.regexp_replace(html, rf"(?is)^(.*?)\b({w})\b", "$1<strong>$2</strong>"))
+        html = F.when(html.rlike(rf"(?i)<strong>[^<]*{whole(w)}"), html).otherwise(F.regexp_replace(html, rf"(?is)^(.*?)({whole(w)})", "$1<strong>$2</strong>"))
     return html
 
 

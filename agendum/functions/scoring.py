@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from agendum.functions.text import whole
+
 #: Fixed weights, floors and windows of the trip score.
 WEIGHTS, TRADITION, VENUE_CAP = {"rayonnement": 2, "specificite": 3}, "tradition", 1
 FLOOR, WINDOWS, HORIZON, PUNCTUAL = 10, ((7, 3), (21, 2), (45, 1)), 183, 4
@@ -74,9 +76,9 @@ def reasons(detail: Column, least: int) -> Column:
 
 
 def language_access(text: Column, signs: list[tuple[str, int]]) -> Column:
-    """Points of the first sign (pattern, points) that the text holds, case aside; 0 for none."""
+    """Points of the first sign (pattern, points) that stands in the text as whole words, case aside; 0 for none."""
     low = F.lower(text)
-    return F.coalesce(*[F.when(low.rlike(pattern), F.lit(points)) for pattern, points in signs], F.lit(0))
+    return F.coalesce(*[F.when(low.rlike(whole(pattern)), F.lit(points)) for pattern, points in signs], F.lit(0))
 
 
 def front_page(row: dict[str, Column], as_of: Column) -> Column:

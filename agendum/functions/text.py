@@ -13,6 +13,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def whole(pattern: str) -> str:
+    """The pattern where no letter, mark or digit of any script stands on either side."""
+    return rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{pattern})(?![\p{{L}}\p{{M}}\p{{N}}])"
+
+
 def _folding() -> tuple[str, str]:
     """Every letter of Latin-1 and the Latin extensions whose decomposition begins with an ASCII letter, and that letter."""
     pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250))]
@@ -100,12 +105,12 @@ def readability(c: Column, long_words: int = 20) -> dict[str, Column]:
 def found_terms(c: Column, terms: list[str]) -> Column:
     """Those of the terms that stand in the text as whole words, case aside, in the order given."""
     low = F.lower(c)
-    return F.array_compact(F.array(*[F.when(low.rlike(rf"\b{t}\b"), F.lit(t)) for t in terms]))
+    return F.array_compact(F.array(*[F.when(low.rlike(whole(t)), F.lit(t)) for t in terms]))
 
 
 def excerpt(c: Column, term: str, around: int = 30) -> Column:
     """What stands around the term's first place."""
-    return F.regexp_extract(c, rf"(?is).{{0,{around}}}\b{term}\b.{{0,{around}}}", 0)
+    return F.regexp_extract(c, rf"(?is).{{0,{around}}}{whole(term)}.{{0,{around}}}", 0)
 
 
 def fingerprint(*columns: Column) -> Column:
@@ -130,7 +135,7 @@ def proper_nouns(title: Column) -> Column:
     words = F.filter(F.regexp_extract_all(title, F.lit("([A-Za-zÀ-ÖØ-öø-ÿ][A-Za-zÀ-ÖØ-öø-ÿ'’-]+)"), 1), lambda w: F.length(w) >= 2)
     loud = F.size(F.filter(words, lambda w: w == F.upper(w)))
     shouting = (F.size(words) >= 3) & (loud * 10 >= F.size(words) * 6)
-    inner = F.filter(words, lambda w: F.substring(w, 2, 1000).rlike("[A-ZÀ-ÖØ-Þ]"))
+    inner = F.filter(words, lambda w: w.rlike(".[A-ZÀ-ÖØ-Þ]"))
     return F.when(shouting, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(inner, fold)))
 
 
@@ -147,7 +152,7 @@ def same_story(a: Column, b: Column, stop: list[str] = (), places: list[str] = (
 
 
 def years_of(title: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(title, F.lit(r"\b((?:19|20)\d{2})\b"), 1))
+    return F.array_distinct(F.regexp_extract_all(title, F.lit(whole(r"(?:19|20)\d{2}")), 0))
 
 
 def years_incompatible(a: Column, b: Column) -> Column:
@@ -196,11 +201,11 @@ def same_root(a: Column, b: Column) -> Column:
 
 
 #: Fixed signs of a cancelled event, in French and Italian.
-CANCELLED = r"\b(annule(?:e|es|s)?|annulation|reporte(?:e|es|s)?|annullat[oaie]|rinviat[oaie])\b"
+CANCELLED = r"annule(?:e|es|s)?|annulation|reporte(?:e|es|s)?|annullat[oaie]|rinviat[oaie]"
 
 
 def cancelled(title: Column) -> Column:
-    return fold(title).rlike(CANCELLED)
+    return fold(title).rlike(whole(CANCELLED))
 
 
 def wrong_language_paragraphs(c: Column, lang: Column, margin: int = 3) -> Column:

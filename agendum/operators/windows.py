@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agendum.storage import stored
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str], n: int = 1) -> DataFrame:
     """The n rows of each key that come last in order."""
@@ -58,6 +60,27 @@ def fill_list(first: DataFrame, second: DataFrame, order: list[Column], n: int)
     return both.orderBy("phase", *order).limit(n)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds name, each row's number within its keys (from 1) in order, nulls first; keys and order columns of df.
+
+    Rows are dealt out by ranges of keys and order and numbered where they lie, and each range starts after the counts of
+    those before it. So a key that holds most rows is spread over all tasks, which a window by key is not; rows of equal
+    order are told apart by a salt and may stand in any order among themselves.
+    """
+    spark, salt = df.sparkSession, f"{name}_salt"
+    by = [*keys, *order, salt]
+    rows = stored(df.withColumn(salt, F.monotonically_increasing_id()), "unnumbered")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = rows.repartitionByRange(tasks, *by).sortWithinPartitions(*by)
+    rows = stored(rows.drop(salt).withColumns({f"{name}_task": F.spark_partition_id(), f"{name}_at": F.monotonically_increasing_id()}), "numbered")
+    ranges = rows.groupBy(*keys, f"{name}_task").agg(F.min(f"{name}_at").alias(f"{name}_first"), F.count(F.lit(1)).alias(f"{name}_rows"))
+    before = F.sum(f"{name}_rows").over(Window.partitionBy(*keys).orderBy(f"{name}_task")) - F.col(f"{name}_rows")
+    ranges = stored(ranges.withColumn(f"{name}_before", before), "ranges").alias("ranges")
+    same = [rows[c].eqNullSafe(F.col(f"ranges.`{c}`")) for c in (*keys, f"{name}_task")]
+    met = rows.join(ranges, same)
+    return met.select(*[rows[c] for c in df.columns], (F.col(f"{name}_at") - F.col(f"{name}_first") + F.col(f"{name}_before") + 1).alias(name))
+
+
 def renumbered(df: DataFrame, keys: list[str], position: str, tie: str) -> DataFrame:
     """Positions made 1..n in their order, rows without one last."""
     order = Window.partitionBy(*keys).orderBy(F.col(position).asc_nulls_last(), tie)

@@ -177,14 +177,6 @@ def expected_write(rows: DataFrame, wanted: DataFrame, key: str, column: str) ->
     return met.select(key, verdict.alias("verdict"), F.when(verdict == "written", F.col("new_value")).otherwise(F.col(column)).alias(column))
 
 
-def slug_plan(rows: DataFrame, key: str, old: str, new: str) -> DataFrame:
-    """The slug that each row takes, made unique by a number in order of key, and the redirect from its old one where they differ."""
-    n = F.row_number().over(Window.partitionBy(new).orderBy(key))
-    slug = F.when(n == 1, F.col(new)).otherwise(F.concat(F.col(new), F.lit("-"), n))
-    out = rows.withColumn("slug", slug)
-    return out.select(key, "slug", F.when(F.col(old) != F.col("slug"), F.col(old)).alias("redirect"))
-
-
 def paired_lines(nodes: DataFrame, lines: DataFrame, node: str, fragment: str, line: str) -> DataFrame:
     """Each line with the node whose fragment it holds (the longest), null for none; nodes are few and sent to every task."""
     met = lines.select(line).distinct().join(F.broadcast(nodes), F.contains(F.col(line), F.col(fragment)), "left")

@@ -72,9 +72,11 @@ def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
 TERMS = ["worthless", "disgusting", "trash", "scum", "stupid", "idiot"]
 
 
-@query(f"""
-SELECT doc_id, array_to_string(t, ',') AS terms FROM (SELECT doc_id, list_filter([{', '.join(repr(t) for t in TERMS)}], lambda w: regexp_matches(lower(text), '\\b' || w || '\\b')) AS t FROM documents) WHERE len(t) > 0
-""")
+_EDGE = r"[^\p{L}\p{M}\p{N}]"
+_FOUND = ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|{_EDGE}){t}($|{_EDGE})') THEN '{t}' END" for t in TERMS)
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(t, lambda w: w IS NOT NULL), ',') AS terms FROM (SELECT doc_id, [{_FOUND}] AS t FROM documents) WHERE len(list_filter(t, lambda w: w IS NOT NULL)) > 0")
 def forbidden_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", tx.found_terms(F.col("text"), TERMS).alias("t"))
     return found.filter(F.size("t") > 0).select("doc_id", F.array_join("t", ",").alias("terms"))

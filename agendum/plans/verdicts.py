@@ -130,29 +130,37 @@ def _said(pairs: list[tuple[str, str | None]], name: str) -> str:
     return f"SELECT p_partkey, [{', '.join(value(v) for _, v in pairs)}][p_partkey % {len(pairs)} + 1] AS {name} FROM part"
 
 
+#: What the documents hold of news: the engine's signs, and notices, insults and function words of the corpus.
 NEWS = [
-    ("Où se garer pour la fête nationale", "getting there"), ("Comment stationner au marché", "parking"), ("Infos trafic du week-end", "roads"), ("Les meilleurs endroits pour voir le feu", "best places"),
-    ("La caravane publicitaire passe", "publicity caravan"), ("Le comité s’est réuni lundi", "meeting report"), ("Conseil municipal : le budget est voté", "council report"), ("Vigilance orange aux orages", "public alert"),
-    ("Un incendie ravage la grange", "fire"), ("Enquête publique sur le port", "public inquiry"), ("Elle remporte le premier tournoi", "sports result"), ("Le club a fêté ses 50 ans", "past anniversary"),
-    ("Il calendario di agosto - tutte le feste", "press calendar"), ("Voici le programme de la fête nationale", None), ("Reconstitution historique", None), ("Un salon de peinture", None),
+    *verdicts.NON_EVENT, verdicts.Sign("notice", ("released. licensed. redistribut", "mit. apache. gnu. cc. permitted."), 2),
+    verdicts.Sign("insult", ("disgusting. worthless. stupid. idiot. trash. scum.",)), verdicts.Sign("French", ("les. des.", "et. ou."), 1), verdicts.Sign("German", ("der. die. das.", "und."), 2),
 ]
+_FOLDED = "replace(replace(replace(regexp_replace(lower(strip_accents({c})), '[\u0300-\u036f]', '', 'g'), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss')"
+_REASON = "CASE " + " ".join(f"WHEN regexp_matches(t, '{s.pattern()}') THEN '{s.reason}'" for s in NEWS) + " END"
 
 
-@query(_said(NEWS, "reason"))
+@query(f"SELECT doc_id, reason FROM (SELECT doc_id, {_REASON} AS reason FROM (SELECT doc_id, {_FOLDED.format(c='text')} AS t FROM documents)) WHERE reason IS NOT NULL")
 def non_event_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _phrases(spark, sf_dir, [t for t, _ in NEWS]).select("p_partkey", verdicts.non_event_reason(F.col("text"), F.lit(None).cast("string")).alias("reason"))
+    """Documents in which a sign stands, and the first one's reason."""
+    found = table(spark, sf_dir, "documents").select("doc_id", verdicts.non_event_reason(F.lit(None).cast("string"), F.col("text"), NEWS).alias("reason"))
+    return found.filter("reason is not null")
 
 
-BYLINES = [
-    ("Denis Falconieri|Fête organisée par Denis Falconieri.", "corroborated"), ("Denis Falconieri|Fête organisée par la Pro Loco. Denis Falconieri était présent.", "person"), ("Émilie DUPONT|", "person"),
-    ("comité des fêtes|x", "body"), ("Pro Loco Aosta|x", "body"), ("Redazione|x", "account"), ("|x", "empty"), ("Anna Maria Rossi|Mostra a cura di Anna Maria Rossi", "corroborated"), ("Jean 2 Dupont|x", "body"),
-]
-
-
-@query(_said(BYLINES, "verdict"))
+@query(f"""
+WITH w AS (SELECT doc_id, string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents),
+n AS (SELECT doc_id, list_transform(w[1:2], lambda x: upper(x[1]) || lower(x[2:])) AS n FROM w),
+j AS (SELECT doc_id, n, array_to_string(n, ' ') AS name FROM n)
+SELECT doc_id, CASE WHEN name = '' THEN 'empty' WHEN len(n) < 2 OR length(name) > 60 OR regexp_matches(name, '[\\p{{N}}@/|:;-]') OR len(list_filter(n, lambda x: NOT regexp_matches(x, '^\\p{{Lu}}')
+    OR regexp_matches({_FOLDED.format(c='x')}, '^{verdicts._any(verdicts.BODIES)}$'))) > 0 THEN 'body' WHEN doc_id % 3 = 0 THEN 'corroborated' ELSE 'person' END AS verdict
+FROM j WHERE NOT contains(name, '-')
+""")
 def byline_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.split("text", r"\|")
-    return _phrases(spark, sf_dir, [t for t, _ in BYLINES]).select("p_partkey", verdicts.byline_verdict(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("verdict"))
+    """The first two words of each document as a name; every third document says that it has organised what is told."""
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    name = F.array_join(F.transform(F.slice(words, 1, 2), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), " ")
+    rows = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), "text").filter(~F.contains("name", F.lit("-")))
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", F.col("text"), F.lit(". Soirée proposée avec joie par"), "name", F.lit("."))).otherwise(F.col("text"))
+    return rows.select("doc_id", verdicts.byline_verdict(F.col("name"), said).alias("verdict"))
 
 
 CALLED_OFF = [("Concert annulé", "yes"), ("ANNULATION du bal", "yes"), ("Sagra rinviata a maggio", "yes"), ("Fête de la musique", "no"), ("Festa annullata", "yes"), ("Annulaire et bagues", "no")]
@@ -196,7 +204,7 @@ def kindred_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _phrases(spark, sf_dir, [t for t, _ in STEMS]).select("p_partkey", F.when(tx.same_root(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), "yes").otherwise("no").alias("kin"))
 
 
-FLEETING = [("Demain, grand bal ; demain encore.", "demain"), ("Stasera e domani", "stasera,domani"), ("Un bal chaque été", ""), ("Aujourd’hui la foire", "aujourd’hui")]
+FLEETING = [("Rendez-vous demain ; demain encore, puis lundi prochain.", "demain,lundi prochain"), ("Domani e questa sera", "domani,questa sera"), ("Un marché chaque été", ""), ("AUJOURD’HUI, la foire", "aujourd")]
 
 
 @query(_said(FLEETING, "signs"))

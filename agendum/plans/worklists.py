@@ -10,6 +10,7 @@ from agendum.functions import catalogue, scoring, web
 from agendum.functions import editorial as ed
 from agendum.functions import text as tx
 from agendum.operators import aggregates
+from agendum.operators import matching
 from agendum.operators import worklists as wl
 
 QUERIES, SQL = {}, {}
@@ -232,17 +233,53 @@ def expected_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wl.expected_write(events.filter("id % 5 <> 0"), wanted, "id", "status")
 
 
-_SLUGS = "SELECT p_partkey AS id, replace(p_name, ' ', '-') || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '-' || p_partkey % 4 END AS old, replace(p_name, ' ', '-') AS new FROM part"
+#: Every tenth part bears a plain name already; the others bear their name with a number and want it plain, or with the brand.
+_SLUGS = """SELECT p_partkey AS id, replace(p_name, ' ', '-') || CASE WHEN p_partkey % 10 = 3 THEN '' ELSE '-x' || p_partkey END AS old, replace(p_name, ' ', '-') AS new,
+  replace(lower(p_brand), '#', '-') AS town FROM part"""
 
 
 @query(f"""
-WITH s AS (SELECT id, old, CASE WHEN row_number() OVER w = 1 THEN new ELSE new || '-' || row_number() OVER w END AS slug FROM ({_SLUGS}) WINDOW w AS (PARTITION BY new ORDER BY id)) SELECT id, slug, CASE WHEN old <> slug THEN old END AS redirect FROM s
+WITH RECURSIVE r AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM ({_SLUGS}) WHERE old <> new),
+b AS (SELECT r.n, r.id, old, new, new || '-' || town AS other, EXISTS (SELECT 1 FROM ({_SLUGS}) s WHERE s.old = r.new) AS new_borne, EXISTS (SELECT 1 FROM ({_SLUGS}) s WHERE s.old = r.new || '-' || r.town) AS other_borne FROM r),
+w AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS slug, CAST([] AS VARCHAR[]) AS held
+  UNION ALL
+  SELECT n, id, slug, CASE WHEN slug IS NULL THEN held ELSE list_append(held, slug) END FROM (
+    SELECT b.n, b.id, held, CASE WHEN NOT new_borne AND NOT list_contains(held, new) THEN new WHEN NOT other_borne AND NOT list_contains(held, other) THEN other END AS slug FROM w JOIN b ON b.n = w.n + 1))
+SELECT s.id, coalesce(w.slug, s.old) AS slug, CASE WHEN w.slug IS NOT NULL THEN s.old END AS redirect, CASE WHEN w.id IS NOT NULL AND w.slug IS NULL THEN s.new END AS refused FROM ({_SLUGS}) s LEFT JOIN w ON s.id = w.id
 """)
 def slug_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     new = F.replace("p_name", F.lit(" "), F.lit("-"))
-    rows = table(spark, sf_dir, "part").select(key.alias("id"), F.concat(new, F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("-"), key % 4))).alias("old"), new.alias("new"))
-    return wl.slug_plan(rows, "id", "old", "new")
+    old = F.concat(new, F.when(key % 10 == 3, "").otherwise(F.concat(F.lit("-x"), key)))
+    rows = table(spark, sf_dir, "part").select(key.alias("id"), old.alias("old"), new.alias("new"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-")).alias("town"))
+    return matching.renamed_once(rows, "id", "old", "new", "town")
+
+
+_SIDES = """SELECT p_partkey AS id, p_partkey % 3 = 0 AS online, CASE WHEN p_partkey % 7 < 2 THEN p_partkey // 30 END AS link, p_name || ' ' || p_type AS title, 20 + p_size AS day, p_brand AS brand FROM part"""
+
+
+@query(f"""
+WITH s AS ({_SIDES}),
+a AS (SELECT *, row_number() OVER (PARTITION BY online, link, day ORDER BY id) AS k FROM s WHERE link IS NOT NULL),
+m AS (SELECT x.id AS a, y.id AS b FROM a x JOIN a y ON NOT x.online AND y.online AND x.link = y.link AND x.day = y.day AND x.k = y.k),
+c AS (SELECT DISTINCT x.id FROM a x JOIN a y ON NOT x.online AND y.online AND x.link = y.link AND x.day = y.day),
+t AS (SELECT *, string_split(lower(title), ' ') AS w FROM s WHERE id NOT IN (SELECT a FROM m) AND id NOT IN (SELECT b FROM m)),
+g AS (SELECT online, brand, day, list_sort(list_distinct(w)) AS w, min(id) AS class, count(*) AS size FROM t GROUP BY ALL),
+p AS (SELECT l.class AS lc, r.class AS rc, -len(list_intersect(l.w, r.w)) AS fewer FROM g l JOIN g r ON NOT l.online AND r.online AND l.brand = r.brand AND l.day = r.day AND len(list_intersect(l.w, r.w)) >= 2)
+SELECT s.id, CASE WHEN m.b IS NOT NULL THEN 'stage 1' WHEN g.class IS NOT NULL AND EXISTS (SELECT 1 FROM p WHERE p.lc = g.class) OR s.id IN (SELECT id FROM c) THEN 'asked' ELSE 'gone' END AS verdict, m.b AS sister
+FROM s LEFT JOIN m ON s.id = m.a LEFT JOIN t ON t.id = s.id LEFT JOIN g ON NOT g.online AND g.brand = t.brand AND g.day = t.day AND g.w = list_sort(list_distinct(t.w)) WHERE NOT s.online
+""")
+def sister_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that are off line and those on line that stand for them; SQL tells the first stage's sisters and who had a candidate,
+    and tests hold the second stage's against a greedy loop."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        key.alias("id"), (key % 3 == 0).alias("online"), F.when(key % 7 < 2, F.expr("p_partkey div 30")).alias("link"), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("w"), (20 + F.col("p_size")).alias("day"), "p_brand",
+    )
+    found = matching.reconciled(rows.filter("not online"), rows.filter("online"), "id", "link", F.col("w"), "day", ["p_brand"])
+    verdict = F.when(F.col("stage") == 1, "stage 1").when(F.col("verdict") == "gone", "gone").otherwise("asked")
+    return found.select("id", verdict.alias("verdict"), F.when(F.col("stage") == 1, F.col("sister")).alias("sister"))
 
 
 @query("""
@@ -396,12 +433,12 @@ def worst_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.orderBy(F.col("filled") / F.col("applicable"), "field").limit(2).select("field", "pct")
 
 
-_SPOKEN = r"CASE WHEN regexp_matches(lower(text), '\b(le|la|les|une)\b') THEN 2 WHEN regexp_matches(lower(text), '\b(the|of)\b') THEN 1 ELSE 0 END"
+_SPOKEN = r"CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(le|la|les|une)($|[^\p{L}\p{M}\p{N}])') THEN 2 WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(the|of)($|[^\p{L}\p{M}\p{N}])') THEN 1 ELSE 0 END"
 
 
 @query(f"SELECT {_SPOKEN} AS points, count(*) AS n FROM documents GROUP BY 1")
 def language_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = scoring.language_access(F.col("text"), [(r"\b(le|la|les|une)\b", 2), (r"\b(the|of)\b", 1)])
+    points = scoring.language_access(F.col("text"), [("le|la|les|une", 2), ("the|of", 1)])
     return table(spark, sf_dir, "documents").groupBy(points.alias("points")).agg(F.count(F.lit(1)).alias("n"))
 
 

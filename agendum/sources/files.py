@@ -138,7 +138,7 @@ def append_log(df: DataFrame, path: str) -> None:
 
 def perimeter(text: Column, names: list[str]) -> Column:
     """Whether one of the place names stands in the folded text as whole words."""
-    from agendum.functions.text import fold
+    from agendum.functions.text import fold, whole
 
     words = "|".join(sorted((n.lower() for n in names), key=len, reverse=True))
-    return F.coalesce(fold(text).rlike(rf"\b(?:{words})\b"), F.lit(False))
+    return F.coalesce(fold(text).rlike(whole(words)), F.lit(False))
