@@ -44,7 +44,7 @@ NON_EVENT = [
     Sign("accident", ("incend feu. flammes. accident. avalanche. rogo. valanga. fire.", "ravag detrui bless endommag distru ferit destroy injur"), 5),
     Sign("inquiry", ("enquete. concertation. consultation. inchiesta. consultazione.", "publi pubbli citoyen"), 1),
     Sign("result", ("remport gagn sacre vainqueu vince. vinto. trionf wins. won.", "tournoi. championnat. coupe. match. finale. titre. torneo. campionato. coppa. partita. cup. title."), 4),
-    Sign("look back", ("retour. bilan. souvenir succes. ritorno. bilancio. successo. look.", "edition. annee. saison. soiree. edizione. anno. serata. back."), 3),
+    Sign("look back", ("retour. bilan. souvenir succes. ritorno. bilancio. successo. look.", "edition. annee. saison. soiree. edizione. anno. serata. back."), 5),
 ]
 #: Words that date a text by the day it was written, as stems and slots like those of signs.
 FLEETING = [
