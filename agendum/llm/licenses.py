@@ -92,15 +92,15 @@ class Index:
         return found
 
 
-def cut_templates(templates: dict[str, str], words: int) -> dict[str, str]:
-    """Templates of more than so many words in even parts of words at most, each with the whole one's label; a part that
-    two templates share keeps the first one's."""
-    out: dict[str, str] = {}
+def by_block(templates: dict[str, str], block: int) -> dict[int, dict[str, str]]:
+    """Templates by the length of block in which they are looked for: the given one, doubled until the template fills half of it at
+    most. So each is looked for whole, and no template changes where another one is looked for."""
+    out: dict[int, dict[str, str]] = {}
     for template, label in templates.items():
-        parts = template.split()
-        n = max(1, ceil(len(parts) / words))
-        for i in range(n):
-            out.setdefault(" ".join(parts[len(parts) * i // n : len(parts) * (i + 1) // n]), label)
+        size = block
+        while 2 * len(template.split()) > size:
+            size *= 2
+        out.setdefault(size, {})[template] = label
     return out
 
 
@@ -123,14 +123,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and spans (start, end, label, containment) to each row.
 
     Terms are runs of a-z, 0-9 and characters beyond ASCII, A-Z lower-cased. Blocks are runs of block terms that begin at
-    every half block, so that any half block of terms lies in one; each block that meets a template within threshold
+    every half block, so that any half block of terms lies in one; a template of more than half a block, a whole license say, has
+    blocks of its own, twice, four times and so on as long. Each block that meets a template within threshold
     makes a span, and its label counts unless another template of the block shares those terms and more. n_base counts all places of phrases, first_word and last_word are the first and last (null: none);
     labels are distinct, sorted and joined by commas; score is the highest containment of any template, 1 with a phrase.
-    A template of more than half a block, a whole license say, is looked for in parts that fit there. A null or empty text
-    has no terms and empty labels; repeated rows are scanned alike; columns of the added names are replaced; an empty table
+    A null or empty text has no terms and empty labels; repeated rows are scanned alike; columns of the added names are replaced; an empty table
     stays empty. Templates travel with the tasks, so their number must stay small (thousands).
     """
-    templates, phrases = cut_templates(templates or TEMPLATES, block // 2), phrases or PHRASES
+    templates, phrases = templates or TEMPLATES, phrases or PHRASES
     common.ship(docs.sparkSession)
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     kept = common.without(docs, added)
@@ -138,23 +138,26 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     terms = F.split(common.ascii_lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     held = F.explode(F.array_intersect(terms, F.array(*[F.lit(w) for w in vocabulary])))
     counts = docs.select(held.alias("word")).groupBy("word").count().collect()  # a row for each word of the templates at most
-    index = Index.of(templates, {r["word"]: r["count"] for r in counts}, threshold)
+    counts = {r["word"]: r["count"] for r in counts}
+    indexes = {size: Index.of(some, counts, threshold) for size, some in sorted(by_block(templates, block).items())}
 
     def look(text: str | None):
         words = TERM.findall((text or "").translate(common.ASCII_LOWER))
         hits = find_phrases(words, list(phrases))
         base = {phrases[p] for _, p in hits}
         labels, score, spans = set(base), 1.0 if hits else 0.0, []
-        if not index.rank.keys().isdisjoint(words):
+        for size, index in indexes.items():
+            if index.rank.keys().isdisjoint(words):
+                continue
             ranks = [index.rank.get(w, -1) for w in words]
             places = np.flatnonzero(np.isin(np.array(ranks), list(index.prefix)))
-            half = block // 2
+            half = size // 2
             for b in sorted({s for p in (places // half).tolist() for s in (p - 1, p) if s >= 0}):
-                part = sorted(set(ranks[b * half : b * half + block]) - {-1})
+                part = sorted(set(ranks[b * half : b * half + size]) - {-1})
                 met = index.meets(part)
                 for n in sorted(met):
                     share = len(met[n]) / len(index.sets[n])
-                    spans.append({"start": b * half, "end": min(len(words), b * half + block), "label": index.labels[n], "containment": share})
+                    spans.append({"start": b * half, "end": min(len(words), b * half + size), "label": index.labels[n], "containment": share})
                     score = max(score, share)
                     if not any(met[n] < other for other in met.values()):
                         labels.add(index.labels[n])

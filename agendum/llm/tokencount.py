@@ -17,6 +17,8 @@ import json
 import re
 import sys
 import unicodedata
+import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agendum.llm import common
-from agendum.llm.tokens import SPACE
 
 # Character classes. Letters that may end a contraction have classes of their own.
 BLANK, OTHER, LETTER, NUMBER, QUOTE, STMD, R, V, L, E = range(10)
@@ -61,20 +62,58 @@ def splitter() -> tuple[np.ndarray, np.ndarray]:
     return to.ravel(), out.ravel()
 
 
+def every_character() -> str:
+    """All code points that a text can hold, in order, without the surrogates."""
+    return "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, sys.maxunicode + 1)))
+
+
 def classes() -> np.ndarray:
-    """The class of every code point."""
-    table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    for n in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(n))[0]
-        if kind in "LN":
-            table[n] = LETTER if kind == "L" else NUMBER
-    for c in re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))):
-        table[ord(c)] = BLANK
+    """The class of every code point, as the tokenizers library's own expressions see it: its Unicode tables may be newer than Python's."""
+    from tokenizers import Regex, pre_tokenizers
+
+    table, every = np.full(sys.maxunicode + 1, OTHER, np.uint8), every_character()
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")):
+        found = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)
+        table[[ord(c) for c, _ in found]] = kind
     for chars, kind in (("'", QUOTE), ("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E)):
         table[[ord(c) for c in chars]] = kind
     return table
 
 
+def python_normal(text: str) -> str:
+    """Normal form C, then lower case letter by letter (no rule for the sigma at a word's end), by Python's tables."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def library_normal():
+    from tokenizers import normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+
+
+def unlike() -> str:
+    """A pattern of the characters that Python does not know or makes other than the library does; texts with one go to the library."""
+    every = every_character()
+    made = library_normal()("\n".join(every)).split("\n")
+    made[every.index("\n")] = "\n"
+    made = made[: every.index("\n") + 1] + made[every.index("\n") + 2 :]  # the line end itself made one line more
+    odd = [ord(c) for c, m in zip(every, made, strict=True) if m != python_normal(c) or unicodedata.category(c) == "Cn"]
+    runs, at = [], None
+    for n in odd:
+        if at is not None and n == runs[-1][1] + 1:
+            runs[-1][1] = n
+        else:
+            runs.append([n, n])
+        at = n
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+
+
+@cache
+def character_tables() -> tuple[bytes, str]:
+    """classes(), compressed, and unlike(): made once on the driver, a few kilobytes that travel with the tasks."""
+    return zlib.compress(classes().tobytes()), unlike()
+
+
 def compose_scan(maps: np.ndarray) -> np.ndarray:
     """The composition of maps[0] to maps[i] for each i, in about log2(n) parallel steps."""
     step = 1
@@ -174,7 +213,7 @@ class WordTransducer:
 class Counter(dict):
     """Token counts of texts for one vocabulary file; counts of at most max_words words and max_states states are kept."""
 
-    def __init__(self, path: str, max_words: int = 300_000, max_states: int = 300_000):
+    def __init__(self, path: str, tables: tuple[bytes, str] | None = None, max_words: int = 300_000, max_states: int = 300_000):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
@@ -188,7 +227,9 @@ class Counter(dict):
         self.make = lambda: WordTransducer(merges, model["end_of_word_suffix"], symbol)
         self.words, self.max_words, self.max_states = self.make(), max_words, max_states
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in made["added_tokens"]) + ")")
-        self.kind, (self.to, self.out) = classes(), splitter()
+        kinds, odd = tables or character_tables()
+        self.kind, (self.to, self.out) = np.frombuffer(zlib.decompress(kinds), np.uint8), splitter()
+        self.unlike, self.library = re.compile(odd), library_normal()
 
     def __missing__(self, word: str) -> int:
         n = self.words.count(word.encode())
@@ -196,10 +237,10 @@ class Counter(dict):
             self[word] = n
         return n
 
-    @staticmethod
-    def normal(text: str) -> str:
-        """Normal form C, then lower case letter by letter (no rule for the sigma at a word's end)."""
-        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    def normal(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        return self.library(text) if self.unlike.search(text) else python_normal(text)
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         whole, owner, total = [], [], np.zeros(len(texts), np.int64)
@@ -232,9 +273,9 @@ class Counter(dict):
 _open: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
+def counter(path: str, tables: tuple[bytes, str] | None = None) -> Counter:
     if path not in _open:
-        _open[path] = Counter(path)
+        _open[path] = Counter(path, tables)
     return _open[path]
 
 
@@ -248,10 +289,12 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
     kept = [c for c in common.without(docs, ["n_bytes", "n_tokens", "over_limit"])]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("n_tokens", F.lit(0).cast("long")).schema
 
+    tables = character_tables()
+
     def count(batches):
         for batch in batches:
             texts = batch.column(kept.index(text)).to_pylist()
-            total = np.concatenate([np.zeros(0, np.int64), *(counter(tokenizer).counts(texts[a:b]) for a, b in common.slices(texts, 1_000_000))])
+            total = np.concatenate([np.zeros(0, np.int64), *(counter(tokenizer, tables).counts(texts[a:b]) for a, b in common.slices(texts, 1_000_000))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], names=[*batch.schema.names, "n_tokens"])
 
     out = docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(count, schema)

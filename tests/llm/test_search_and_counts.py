@@ -218,11 +218,21 @@ def test_licenses(spark):
         assert {(s.start, s.label) for s in r.spans} == want
 
 
-def test_long_templates_are_looked_for_in_parts(spark):
+def test_long_templates_are_looked_for_whole(spark):
     long = " ".join(f"w{n}" for n in range(200))
-    assert " ".join(licenses.cut_templates({long: "own"}, 24)) == long and max(len(t.split()) for t in licenses.cut_templates({long: "own"}, 24)) <= 24
-    rows = licenses.scan(docs(spark, [long, "x " * 90 + long.upper() + " y" * 40, " ".join(long.split()[:60]), " ".join(long.split()[::12])], extra=False), {long: "own"}).collect()
-    assert sorted((r.text[:2], r.labels, r.score) for r in rows) == sorted([("w0", "own", 1.0), ("x ", "own", 1.0), ("w0", "own", 1.0), ("w0", "", 0.0)])
+    both = {long: "own", "released under the mit license": "mit"}
+    assert {size: list(t.values()) for size, t in licenses.by_block(both, 48).items()} == {48: ["mit"], 768: ["own"]}
+    rows = licenses.scan(docs(spark, [long, "x " * 90 + long.upper() + " y" * 40, " ".join(long.split()[:60]), " ".join(long.split()[:185])], extra=False), both).collect()
+    assert sorted((len(r.text.split()), r.labels, r.score) for r in rows) == [(60, "", 0.0), (185, "own", 0.925), (200, "own", 1.0), (330, "own", 1.0)]
+
+
+def test_every_character_is_counted_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    counter, library, every = tokencount.Counter(path), Tokenizer.from_file(path), tokencount.every_character()
+    texts = ["".join(f"a{c}b A{c}'{c} " for c in every[i : i + 400]) for i in range(0, len(every), 400)]
+    assert counter.counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_quality_counts_and_list(spark):
