@@ -33,11 +33,12 @@ def sessions(events: DataFrame, key: str, time: str, gap: str = "30 minutes", la
 
 
 def decision_states(log: DataFrame, key: str, kind: str, order: str) -> DataFrame:
-    """The fold of signals, escalations and resolutions by key: status, seen and reopened after each batch."""
+    """The fold of signals, escalations and resolutions by key: status, seen and reopened after each batch. Batches must follow
+    one another in order; ordered.decision_states() takes rows in any order."""
 
     def step(keys: tuple, batches, state: GroupState):
         status, seen, reopened = state.get if state.exists else ("none", 0, 0)
-        for batch in batches:
+        for batch in [pd.concat(list(batches))]:  # a key's rows of one batch come in several pieces
             for k in batch.sort_values(order)[kind]:
                 is_open = status in ("open", "escalated")
                 if k == "signal":
@@ -55,12 +56,13 @@ def decision_states(log: DataFrame, key: str, kind: str, order: str) -> DataFram
 
 
 def failure_streaks(runs: DataFrame, key: str, failed: str, order: str, alarm: int = 3) -> DataFrame:
-    """Failures in a row by key; a row each time a streak reaches the alarm, and not again before a success."""
+    """Failures in a row by key; a row each time a streak reaches the alarm, and not again before a success. Batches must follow
+    one another in order; ordered.failure_streaks() takes rows in any order."""
 
     def step(keys: tuple, batches, state: GroupState):
         (streak,) = state.get if state.exists else (0,)
         raised = []
-        for batch in batches:
+        for batch in [pd.concat(list(batches))]:
             ordered = batch.sort_values(order)
             for bad, at in zip(ordered[failed], ordered[order], strict=True):
                 streak = streak + 1 if bad else 0
