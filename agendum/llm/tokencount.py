@@ -91,27 +91,20 @@ def library_normal():
     return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
 
 
-def unlike() -> str:
-    """A pattern of the characters that Python does not know or makes other than the library does; texts with one go to the library."""
-    every = every_character()
+def unlike() -> np.ndarray:
+    """For each code point whether Python does not know it or makes another of it than the library does; texts with one go to the library."""
+    every, table = every_character(), np.zeros(sys.maxunicode + 1, bool)
     made = library_normal()("\n".join(every)).split("\n")
     made[every.index("\n")] = "\n"
     made = made[: every.index("\n") + 1] + made[every.index("\n") + 2 :]  # the line end itself made one line more
-    odd = [ord(c) for c, m in zip(every, made, strict=True) if m != python_normal(c) or unicodedata.category(c) == "Cn"]
-    runs, at = [], None
-    for n in odd:
-        if at is not None and n == runs[-1][1] + 1:
-            runs[-1][1] = n
-        else:
-            runs.append([n, n])
-        at = n
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+    table[[ord(c) for c, m in zip(every, made, strict=True) if m != python_normal(c) or unicodedata.category(c) == "Cn"]] = True
+    return table
 
 
 @cache
-def character_tables() -> tuple[bytes, str]:
-    """classes(), compressed, and unlike(): made once on the driver, a few kilobytes that travel with the tasks."""
-    return zlib.compress(classes().tobytes()), unlike()
+def character_tables() -> tuple[bytes, bytes]:
+    """classes() and unlike(), compressed: made once on the driver, a few kilobytes that travel with the tasks."""
+    return zlib.compress(classes().tobytes()), zlib.compress(unlike().tobytes())
 
 
 def compose_scan(maps: np.ndarray) -> np.ndarray:
@@ -213,7 +206,7 @@ class WordTransducer:
 class Counter(dict):
     """Token counts of texts for one vocabulary file; counts of at most max_words words and max_states states are kept."""
 
-    def __init__(self, path: str, tables: tuple[bytes, str] | None = None, max_words: int = 300_000, max_states: int = 300_000):
+    def __init__(self, path: str, tables: tuple[bytes, bytes] | None = None, max_words: int = 300_000, max_states: int = 300_000):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
@@ -229,7 +222,7 @@ class Counter(dict):
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in made["added_tokens"]) + ")")
         kinds, odd = tables or character_tables()
         self.kind, (self.to, self.out) = np.frombuffer(zlib.decompress(kinds), np.uint8), splitter()
-        self.unlike, self.library = re.compile(odd), library_normal()
+        self.unlike, self.library = np.frombuffer(zlib.decompress(odd), bool), library_normal()
 
     def __missing__(self, word: str) -> int:
         n = self.words.count(word.encode())
@@ -240,7 +233,8 @@ class Counter(dict):
     def normal(self, text: str) -> str:
         if text.isascii():
             return text.lower()
-        return self.library(text) if self.unlike.search(text) else python_normal(text)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return self.library(text) if self.unlike[codes].any() else python_normal(text)
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         whole, owner, total = [], [], np.zeros(len(texts), np.int64)
@@ -273,7 +267,7 @@ class Counter(dict):
 _open: dict[str, Counter] = {}
 
 
-def counter(path: str, tables: tuple[bytes, str] | None = None) -> Counter:
+def counter(path: str, tables: tuple[bytes, bytes] | None = None) -> Counter:
     if path not in _open:
         _open[path] = Counter(path, tables)
     return _open[path]
