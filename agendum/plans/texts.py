@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agendum.catalog import table
 from agendum.functions import text as tx
 from agendum.functions import web
+from agendum.operators import gazetteer
 from agendum.operators import entities
 
 QUERIES, SQL = {}, {}
@@ -69,6 +70,56 @@ def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *[c.cast("long").alias(n) for n, c in tx.readability(F.col("text")).items()])
 
 
+#: Names of the corpus: the first two words of every document, and its third alone if it is long.
+_TOKENS = "SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+') AS w FROM documents"
+_PLAIN = "replace(replace(replace(lower(strip_accents({c})), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss')"
+_PLACES = f"""SELECT DISTINCT {_PLAIN.format(c="w[1] || ' ' || w[2]")} AS name, 2 AS size FROM t WHERE len(w) >= 2 UNION SELECT DISTINCT {_PLAIN.format(c='w[3]')}, 1 FROM t WHERE length(w[3]) >= 9"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").withColumn("w", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    pairs = docs.filter(F.size("w") >= 2).select(F.array_join(F.slice("w", 1, 2), " ").alias("name"))
+    long = docs.filter(F.length(F.get("w", F.lit(2))) >= 9).select(F.get("w", F.lit(2)).alias("name"))
+    return docs, pairs.unionByName(long)
+
+
+@query(f"""
+WITH t AS ({_TOKENS}), p AS ({_PLACES}),
+u AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+r AS (SELECT doc_id, i, 1 AS size, {_PLAIN.format(c='w[i]')} AS name, w[i][1] AS c FROM u UNION ALL SELECT doc_id, i, 2, {_PLAIN.format(c="w[i] || ' ' || w[i + 1]")}, w[i][1] FROM u WHERE i < len(w))
+SELECT doc_id, r.name, count(*) AS n, sum(i - 1) AS places, count(*) FILTER (upper(c) = c AND lower(c) <> c) AS capitals FROM r JOIN p ON r.name = p.name AND r.size = p.size GROUP BY doc_id, r.name
+""")
+def names_with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every name in every document, added up by document and name."""
+    docs, places = _places(spark, sf_dir)
+    found = gazetteer.names_in(docs, "doc_id", "text", places, "name")
+    return found.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("at").alias("places"), F.count_if("capital").alias("capitals"))
+
+
+@query(f"""
+WITH t AS ({_TOKENS}), p AS ({_PLACES}),
+d AS (SELECT doc_id, text, w, CASE WHEN doc_id % 3 = 0 THEN 'qqqq zzzz' ELSE array_to_string(w[1:6], ' ') END AS title, CASE WHEN len(w) >= 2 THEN CASE doc_id % 4 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN NULL ELSE 'Nowhere ' || doc_id END END AS town FROM t),
+u AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+r AS (SELECT doc_id, 1 AS size, {_PLAIN.format(c='w[i]')} AS name, w[i][1] AS c FROM u UNION ALL SELECT doc_id, 2, {_PLAIN.format(c="w[i] || ' ' || w[i + 1]")}, w[i][1] FROM u WHERE i < len(w)),
+f AS (SELECT DISTINCT doc_id, r.name FROM r JOIN p ON r.name = p.name AND r.size = p.size WHERE upper(c) = c AND lower(c) <> c),
+o AS (SELECT *, coalesce(array_to_string(regexp_extract_all({_PLAIN.format(c='town')}, '[a-z0-9]+'), ' '), '') AS own, ' ' || array_to_string(regexp_extract_all({_PLAIN.format(c="coalesce(text, '')")}, '[a-z0-9]+'), ' ') || ' ' AS line,
+  list_distinct(list_filter(regexp_extract_all({_PLAIN.format(c="concat_ws(' ', title, town)")}, '[a-z0-9]+'), lambda x: length(x) >= 4)) AS who FROM d),
+e AS (SELECT f.doc_id, list_sort(list(f.name)) AS others FROM f JOIN o ON f.doc_id = o.doc_id WHERE own <> '' AND NOT contains(own, f.name) AND NOT contains(f.name, own) GROUP BY f.doc_id),
+s AS (
+  SELECT o.doc_id, others, others IS NOT NULL AND NOT contains(line, ' ' || own || ' ') AS away,
+    trim(coalesce(text, '')) <> '' AND len(who) > 0 AND NOT list_has_any(who, list_filter(string_split(line, ' '), lambda x: length(x) >= 4)) AS foreign_text
+  FROM o LEFT JOIN e ON o.doc_id = e.doc_id)
+SELECT doc_id, CASE WHEN away THEN array_to_string(others[1:3], ', ') END AS elsewhere, CASE WHEN away AND foreign_text THEN 'blocked' WHEN away THEN 'elsewhere' WHEN foreign_text THEN 'foreign' ELSE 'silent' END AS verdict FROM s
+""")
+def text_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether documents tell of their titles and towns; every third title is strange, and only every fourth town is named."""
+    docs, places = _places(spark, sf_dir)
+    first = lambda n: F.array_join(F.slice("w", 1, n), " ")
+    town = F.when(F.size("w") >= 2, F.when(F.col("doc_id") % 4 == 0, first(2)).when(F.col("doc_id") % 4 != 1, F.concat(F.lit("Nowhere "), F.col("doc_id"))))
+    rows = docs.select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, "qqqq zzzz").otherwise(first(6)).alias("title"), town.alias("town"))
+    return gazetteer.coherence(rows, places, "doc_id", "text", ["title", "town"], "town", "name")
+
+
 TERMS = ["worthless", "disgusting", "trash", "scum", "stupid", "idiot"]
 
 
