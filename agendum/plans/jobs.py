@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from agendum.catalog import table
 from agendum.functions import scoring
 from agendum.functions import text as tx
-from agendum.operators import aggregates, audits, joins, snapshots, windows
+from agendum.operators import aggregates, audits, joins, mergejob, snapshots, windows
 
 QUERIES, SQL = {}, {}
 
@@ -250,3 +250,40 @@ SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text,
 """)
 def benchmark_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.containing(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", "doc_id")
+
+
+MERGE_STEPS, MERGE_FILL = [["title", "territory", "day"], ["url"]], ["url", "image"]
+_START = """SELECT p_partkey AS id, p_name AS title, p_brand AS territory, p_size % 5 AS day, CASE WHEN p_partkey % 3 = 0 THEN 'u' || p_partkey % 150 END AS url, CASE WHEN p_partkey % 4 = 1 THEN 'i' || p_partkey END AS image,
+  CASE WHEN p_partkey % 5 = 0 THEN 'published' ELSE 'pending' END AS status, p_partkey % 10 = 0 AS online, p_partkey % 37 = 0 AS cancelled, CAST(NULL AS BIGINT) AS duplicate_of FROM part"""
+
+
+def _merge_sql(passes: int) -> str:
+    """The job's steps one after another; steps behind the fixpoint change nothing."""
+    parts, n = [f"WITH v0 AS ({_START})"], 0
+    for keys in MERGE_STEPS * passes:
+        names = ", ".join(keys)
+        known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+        same = " AND ".join(f"e.{k} = h.{k}" for k in keys)
+        wins = "e.duplicate_of IS NULL AND e.status <> 'merged' AND e.id = h.winner"
+        parts.append(f"""g{n} AS (
+  SELECT {names}, arg_max(id, r) FILTER (status <> 'pending') AS stock, arg_max(id, r) FILTER (status = 'pending') AS new, count(*) FILTER (status = 'pending') AS n_new, count(*) AS n, count(*) FILTER (cancelled) AS off,
+    {', '.join(f"arg_max({c}, r) FILTER (status = 'pending' AND {c} IS NOT NULL) AS f_{c}" for c in MERGE_FILL)}
+  FROM (SELECT *, CAST(online AS BIGINT) * 1000000000000000 + ({' + '.join(f'CAST({c} IS NOT NULL AS BIGINT)' for c in MERGE_FILL)}) * 100000000000000 - id AS r FROM v{n} WHERE duplicate_of IS NULL AND status <> 'merged' AND {known}) GROUP BY {names}),
+h{n} AS (SELECT *, coalesce(stock, new) AS winner FROM g{n} WHERE (stock IS NOT NULL AND n_new > 0 OR n_new > 1) AND NOT (off > 0 AND off < n)),
+w{n} AS (SELECT e.*, h.winner, {', '.join(f'CASE WHEN {wins} AND e.{c} IS NULL THEN h.f_{c} END AS f_{c}' for c in MERGE_FILL)},
+    CASE WHEN e.duplicate_of IS NULL AND e.status = 'pending' AND e.id <> h.winner THEN h.winner END AS target FROM v{n} e LEFT JOIN h{n} h ON {same}),
+v{n + 1} AS (SELECT id, title, territory, day, coalesce(url, f_url) AS url, coalesce(image, f_image) AS image, CASE WHEN target IS NOT NULL THEN 'merged' ELSE status END AS status, online, cancelled, coalesce(target, duplicate_of) AS duplicate_of FROM w{n})""")
+        n += 1
+    return ",\n".join(parts) + f"\nSELECT id, url, image, status, duplicate_of FROM v{n}"
+
+
+@query(_merge_sql(4))
+def merge_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts merged by title, territory and day and by address, until nothing changes."""
+    key = F.col("p_partkey")
+    events = table(spark, sf_dir, "part").select(
+        key.alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("territory"), (F.col("p_size") % 5).alias("day"), F.when(key % 3 == 0, F.concat(F.lit("u"), key % 150)).alias("url"),
+        F.when(key % 4 == 1, F.concat(F.lit("i"), key)).alias("image"), F.when(key % 5 == 0, "published").otherwise("pending").alias("status"), (key % 10 == 0).alias("online"), (key % 37 == 0).alias("cancelled"),
+        F.lit(None).cast("long").alias("duplicate_of"),
+    )
+    return mergejob.merge_job(events, MERGE_STEPS, MERGE_FILL)[0].select("id", "url", "image", "status", "duplicate_of")
