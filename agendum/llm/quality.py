@@ -94,12 +94,14 @@ class Rule:
 def labelled_cells(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str, max_labelled: int, cuts: int):
     """The labelled rows' counts by bin of every feature, fold and label, and the cut points; a bounded sample of rows.
 
-    The sample is the max_labelled rows of labels with a 0 or 1 whose keys hash lowest, so it is broadcast safely.
+    The sample is the max_labelled keys of labels with a 0 or 1 that hash lowest, so it is broadcast safely; where a key
+    has several texts, the one with the least features stands for it, so no key outweighs others.
     """
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("label_key")).agg(F.min(label).cast("int").alias("good"))
     chosen = chosen.orderBy(F.xxhash64("label_key"), "label_key").limit(max_labelled)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("label_key"), F.col(f"`{text}`").alias("label_text")).join(F.broadcast(chosen), "label_key")
     stats = text_counts(rows, "label_text").filter(f"not ({BASE_FAILED})").select("label_key", "good", *[F.expr(e).alias(f) for f, e in FEATURES.items()])
+    stats = stats.groupBy("label_key", "good").agg(F.min(F.struct(*FEATURES)).alias("least")).select("label_key", "good", "least.*")  # one row a key
     stats = common.stored(stats, "labelled")
     shares = [i / cuts for i in range(1, cuts)]
     found = stats.groupBy("good").agg(*[F.percentile_approx(f, shares, 10_000).alias(f) for f in FEATURES]).collect()

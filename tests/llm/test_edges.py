@@ -54,3 +54,10 @@ def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Session)
+
+
+def test_a_repeated_key_is_one_labelled_row(spark):
+    texts = [(1, "good words in a row " * 8)] * 500 + [(2, "bad *** " * 30), (3, " ".join(f"w{n}" for n in range(40)))]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    cells, _ = quality.labelled_cells(spark.createDataFrame(texts, "doc_id long, text string"), labels, "doc_id", "quality", "text", 100, 4)
+    assert sum(c["count"] for c in cells) <= 3
