@@ -200,13 +200,14 @@ def _compare(found: Forest, points: np.ndarray, homes: np.ndarray, visitors: np.
 def links(fps: DataFrame, most: int = 3, shard_rows: int = 20_000, max_sample: int = 200_000) -> DataFrame:
     """Edges (a, b) of distinct fingerprints fp whose components are those of all pairs within most bits.
 
-    shard_rows: fingerprints at home in a shard, about. The trees are fitted on the max_sample fingerprints with the lowest
-    hashes, at most, which fixes borders and no result; as many shards are made as a sixteenth of the sample allows.
+    shard_rows: fingerprints at home in a shard, about. The trees are fitted on about max_sample fingerprints, chosen by their
+    hashes, or on all where there are fewer, which fixes borders and no result; as many shards are made as a sixteenth of the sample allows.
     """
     spark = fps.sparkSession
     common.ship(spark)
     n = fps.count()
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(max_sample).collect()], np.int64).view(U)
+    chosen = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, max_sample / max(1, n)) * (1 << 30))  # each task sends its share
+    sample = np.array([r[0] for r in fps.filter(chosen).select("fp").collect()], np.int64).view(U)
     shards = max(1, min(max(common.parallelism(spark), -(-n // shard_rows)), len(sample) // 16))
     half = most // 2  # two halves: one of them differs in so many bits at most
     metrics = [[(mask, half), (int(ALL), most)] for mask in (0xFFFFFFFF, 0xFFFFFFFF00000000)]
