@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from agendum.functions.text import let
+
 #: Fixed parameters that follow readers about.
 TRACKING = (
     r"^(utm_[a-z]+|hsa_[a-z]+|gclid|gclsrc|dclid|gbraid|wbraid|srsltid|fbclid|igshid|igsh|msclkid|yclid|twclid|ttclid|li_fat_id|mc_cid|mc_eid|mkt_tok|_hsenc|_hsmi|vero_id|oly_anon_id|oly_enc_id|wickedid|rb_clickid|s_cid|spm|ref)="
@@ -75,7 +77,7 @@ def visible_text(html: Column) -> Column:
 
 def section_counts(html: Column, section: str, card: str) -> Column:
     """How many card tags each section holds, in order; what stands before the first section is none."""
-    return F.transform(F.slice(F.split(html, rf"(?i)<{section}\b"), 2, 100_000), lambda s: F.regexp_count(s, F.lit(rf"(?i)<{card}\b")))
+    return F.transform(let(F.split(html, rf"(?i)<{section}\b"), lambda parts: F.slice(parts, F.lit(2), F.size(parts))), lambda s: F.regexp_count(s, F.lit(rf"(?i)<{card}\b")))
 
 
 def title(html: Column) -> Column:

@@ -65,10 +65,13 @@ def both_ways(wanted: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def sample_by_module(df: DataFrame, module: Column, order: list[Column], n: int = 3) -> DataFrame:
-    """Each module's row count and first n rows, in one job."""
+    """Each module's row count and first n rows. Counts are partial sums, and a task hands on its first n rows of a module only,
+    so no module is gathered whole."""
     rows = df.withColumn("module", module).filter("module is not null")
+    counts = rows.groupBy("module").agg(F.count(F.lit(1)).alias("module_rows"))
     place = F.row_number().over(Window.partitionBy("module").orderBy(*order))
-    return rows.withColumn("module_rows", F.count(F.lit(1)).over(Window.partitionBy("module"))).withColumn("place", place).filter(F.col("place") <= n)
+    first = rows.withColumn("place", place).filter(F.col("place") <= n)
+    return first.join(counts, "module").select(*rows.columns, "module_rows", "place")
 
 
 def next_angle(attempts: DataFrame, key: str, angle: str, angles: list[str]) -> DataFrame:

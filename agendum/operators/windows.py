@@ -82,6 +82,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
 
 
 def renumbered(df: DataFrame, keys: list[str], position: str, tie: str) -> DataFrame:
-    """Positions made 1..n in their order, rows without one last."""
-    order = Window.partitionBy(*keys).orderBy(F.col(position).asc_nulls_last(), tie)
-    return df.withColumn(position, F.row_number().over(order))
+    """Positions made 1..n in their order, rows without one last; a key that holds most rows is spread over all tasks."""
+    marked = df.withColumn("position_none", F.col(position).isNull())
+    placed = numbered(marked, keys, ["position_none", position, tie], "position_new")
+    return placed.select(*[F.col("position_new").cast("int").alias(c) if c == position else F.col(c) for c in df.columns])
