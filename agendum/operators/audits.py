@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agendum.functions import web
+from agendum.functions.text import folded_key
+
 from agendum.storage import keep, scope, stored
 
 
@@ -129,3 +132,32 @@ def origin_of(url: Column) -> Column:
     """Parent id and language of translated:ID:lang."""
     p = r"^translated:(\d+):([a-z]{2})$"
     return F.when(url.rlike(p), F.struct(F.regexp_extract(url, p, 1).cast("long").alias("parent"), F.regexp_extract(url, p, 2).alias("lang")))
+
+
+def page_findings(pages: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """What published pages say otherwise than their rows: key, grave and doubtful (lists of findings, sorted, joined by commas).
+
+    pages: key, html; rows: key, title, start (a day), language. Every event node of a page's JSON-LD, at any depth, is looked at, as
+    series carry several: the title is right if one of them bears it (folded), the start if one bears it too. Grave is what a reader sees
+    wrong: page missing, title, start. Doubtful: no event in the page, no start there, no picture, another language in its html tag. A row
+    without title, start or language has no finding of that kind; a page without a row is left out; blocks that are no JSON count as none.
+    """
+    spark = pages.sparkSession
+    web.register_json_ld(spark)
+    blocks = pages.select(key, F.explode(web.json_ld_blocks(F.col("html"))).alias("block"))
+    nodes = spark.sql(f"SELECT b.`{key}`, e.name, e.start_date FROM {{blocks}} b, LATERAL json_ld_events(b.block) e", blocks=blocks)
+    own = rows.select(key, "title", "start")
+    day = F.to_date(F.substring("start_date", 1, 10).try_cast("date"))
+    met = nodes.join(own, key).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_events"), F.bool_or(F.coalesce(folded_key(F.col("name")) == folded_key(F.col("title")), F.lit(False))).alias("same_title"),
+        F.bool_or(F.coalesce(day == F.col("start"), F.lit(False))).alias("same_start"), F.bool_or(day.isNotNull()).alias("dated"),
+    )
+    html = F.col("html")
+    seen = pages.select(key, F.lit(True).alias("there"), F.regexp_extract(html, r"(?is)<html[^>]*?\blang\s*=\s*[\"']([A-Za-z]{2})", 1).alias("tag"), (F.size(web.images(html)) > 0).alias("pictured"))
+    all_ = rows.join(seen, key, "left").join(met, key, "left")
+    has = F.coalesce(F.col("n_events"), F.lit(0)) > 0
+    there = F.coalesce("there", F.lit(False))
+    said = lambda tests: F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests]))), ",")
+    grave = said([("page missing", ~there), ("start", has & F.col("start").isNotNull() & F.col("dated") & ~F.col("same_start")), ("title", has & F.col("title").isNotNull() & ~F.col("same_title"))])
+    doubtful = said([("no event", there & ~has), ("no picture", there & ~F.col("pictured")), ("no start", has & F.col("start").isNotNull() & ~F.col("dated")), ("language", there & (F.col("tag") != "") & (F.lower("tag") != F.lower("language")))])
+    return all_.select(key, grave.alias("grave"), doubtful.alias("doubtful"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agendum.catalog import table
-from agendum.functions import scoring
+from agendum.functions import scoring, web
 from agendum.functions import text as tx
 from agendum.operators import aggregates, audits, joins, mergejob, snapshots, windows
 
@@ -287,3 +287,26 @@ def merge_job(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("long").alias("duplicate_of"),
     )
     return mergejob.merge_job(events, MERGE_STEPS, MERGE_FILL)[0].select("id", "url", "image", "status", "duplicate_of")
+
+
+@query(r"""
+WITH p AS (
+  SELECT page_id, regexp_extract(html, '(?is)<html[^>]*?\blang\s*=\s*["'']([A-Za-z]{2})', 1) AS tag, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})/', 1) AS lang, page_id % 3 AS k, page_id % 5 = 0 AS late, page_id % 7 = 0 AS undated,
+    regexp_matches(html, '(?i)<meta\s[^>]*?property\s*=\s*["'']og:image["''][^>]*?content\s*=\s*["''][^"'']+["'']') OR regexp_matches(html, '(?i)<img\s[^>]*?src\s*=\s*["''][^"'']+["'']') AS pictured FROM pages WHERE url IS NOT NULL),
+r AS (SELECT *, page_id % 11 = 10 AS gone FROM p)
+SELECT page_id, concat_ws(',', CASE WHEN gone THEN 'page missing' END, CASE WHEN NOT gone AND k < 2 AND NOT undated AND late THEN 'start' END, CASE WHEN NOT gone AND k = 1 THEN 'title' END) AS grave,
+  concat_ws(',', CASE WHEN NOT gone AND tag <> '' AND lower(tag) <> lang THEN 'language' END, CASE WHEN NOT gone AND k = 2 THEN 'no event' END, CASE WHEN NOT gone AND NOT pictured THEN 'no picture' END, CASE WHEN NOT gone AND k < 2 AND undated THEN 'no start' END) AS doubtful FROM r
+""")
+def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against rows of their headings, with a JSON-LD graph put into two of three: some name another title or day, or no
+    day, and every eleventh page is gone."""
+    pages = table(spark, sf_dir, "pages").filter("url is not null")
+    key, head = F.col("page_id"), web.unescaped(F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"(?s)<[^>]*>", " "))
+    name = F.when(key % 3 == 1, F.concat(F.lit("qq"), head)).otherwise(head)
+    start = F.date_add(F.lit("2026-01-01").cast("date"), (key % 300).cast("int"))
+    told = F.when(key % 7 != 0, F.concat(F.when(key % 5 == 0, F.date_add(start, 9)).otherwise(start).cast("string"), F.lit("T20:00:00+02:00")))
+    node = F.struct(F.lit("MusicEvent").alias("@type"), name.alias("name"), told.alias("startDate"))
+    graph = F.to_json(F.struct(F.array(F.struct(F.lit("WebPage").alias("@type"), F.array(node).alias("about"))).alias("@graph")))
+    block = F.when(key % 3 < 2, F.concat(F.lit('<script type="application/ld+json">'), graph, F.lit("</script>"))).otherwise('<script type="application/ld+json">{no json</script>')
+    rows = pages.select("page_id", head.alias("title"), start.alias("start"), F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("language"))
+    return audits.page_findings(pages.filter(key % 11 != 10).select("page_id", F.concat("html", block).alias("html")), rows, "page_id")
