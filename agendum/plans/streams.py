@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agendum.catalog import table
-from agendum.storage import shared_dir
+from agendum.storage import shared_path
 from agendum.streaming import jobs, ordered, rematch
 
 
@@ -24,7 +22,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _result(spark: SparkSession, df: DataFrame) -> DataFrame:
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = shared_path(spark, "stream")
     jobs.run_available(df, f"{place}/out", f"{place}/checkpoint")
     return spark.read.schema(df.schema).parquet(f"{place}/out")
 
@@ -66,7 +64,7 @@ def stream_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_rematch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The press_kits of all parts, which arrive as four files: kits before and after their events."""
-    place = f"{shared_dir(spark)}/rematch-{uuid.uuid4().hex}"
+    place = shared_path(spark, "rematch")
     parts = table(spark, sf_dir, "part")
     side = F.when(F.col("p_size") <= 3, "kit").otherwise("event")
     where = F.when(F.col("p_size") != 1, F.col("p_brand"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -10,8 +11,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
-#: Folders in the shared folder by scope, the innermost last.
-_scopes: list[list[str]] = [[]]
+
+
+class _Scopes(threading.local):
+    """Folders in the shared folder by scope, the innermost last; each thread has its own, so jobs side by side keep theirs apart."""
+
+    def __init__(self):
+        self.stack: list[list[str]] = [[]]
+
+
+_scopes = _Scopes()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder there, which the innermost scope deletes."""
+    _scopes.stack[-1].append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet and read back; the innermost scope deletes it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _scopes[-1].append(path)
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -39,23 +53,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def scope():
     """Deletes at its end what was stored in it, but for what keep() was told; for callers that have consumed all of it."""
-    _scopes.append([])
+    _scopes.stack.append([])
     try:
         yield
     finally:
-        _delete(_scopes.pop())
+        _delete(_scopes.stack.pop())
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Leaves the newest stored folder, which df reads, to the scope outside."""
-    _scopes[-2].append(_scopes[-1].pop())
+    _scopes.stack[-2].append(_scopes.stack[-1].pop())
     return df
 
 
 def drop_stored() -> None:
-    """Deletes all that was stored in this process outside of any scope; for callers that are done with all results."""
-    _delete(_scopes[0])
-    _scopes[0].clear()
+    """Deletes all that was stored in this thread outside of any scope; for callers that are done with all results."""
+    _delete(_scopes.stack[0])
+    _scopes.stack[0].clear()
 
 
 def _delete(paths: list[str]) -> None:
