@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from agendum.functions import dates
+from agendum.functions import dates, web
 from agendum.functions import text as tx
 from agendum.functions.text import whole
 
@@ -145,3 +145,22 @@ def season_note(start: Column, end: Column, as_of: Column) -> Column:
     """Points for a start or an end that is near: 2 within a week, 1 within a month, of whichever is nearer."""
     near = F.least(F.when(start >= as_of, F.datediff(start, as_of)), F.when(F.coalesce(end, start) >= as_of, F.datediff(F.coalesce(end, start), as_of)))
     return F.when(near <= 7, 2).when(near <= 31, 1).otherwise(0)
+
+
+def pollution(description: Column, feeds: list[str], least: int = 120, raw: int = 200) -> Column:
+    """Why a description has no substance: "feed link" (it holds an address of one of the feeds), "hollow" (raw characters and
+    more of which fewer than least can be seen), or null. An empty or merely short one is neither, as nothing was written over it."""
+    text = F.coalesce(description, F.lit(""))
+    feed = F.lit(False)
+    for f in feeds:
+        feed = feed | F.contains(F.lower(text), F.lit(f.lower()))
+    hollow = (F.length(text) >= raw) & (F.length(web.visible_text(text)) < least)
+    return F.when(F.trim(text) == "", None).when(feed, "feed link").when(hollow, "hollow")
+
+
+def accepted(cause: Column, old: Column, new: Column, new_blocked: Column, least: int = 80) -> Column:
+    """Whether a description found again replaces the old one: it must show least characters, and, where the old one was polluted, more
+    than that, as poor is not wrong; where the cause is "incoherent" length tells nothing, and the new one must tell of the row (new_blocked false)."""
+    seen = lambda c: F.length(web.visible_text(F.coalesce(c, F.lit(""))))
+    better = F.when(cause == "incoherent", ~F.coalesce(new_blocked, F.lit(False))).otherwise(seen(new) > seen(old))
+    return cause.isNotNull() & (seen(new) >= least) & better

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agendum.catalog import table
+from agendum.functions import editorial as ed
 from agendum.functions import text as tx
 from agendum.functions import web
 from agendum.operators import gazetteer
@@ -158,6 +159,31 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("n_chars"))
 
 
+#: What a page's row holds: its navigation, its page, its page with a feed's address, or nothing; and what is found again: the navigation or the page.
+_HELD = r"CASE page_id % 4 WHEN 0 THEN regexp_extract(html, '(?is)<nav>.*?</nav>') WHEN 1 THEN html WHEN 2 THEN html || ' https://feeds.example.org/RSS/7' ELSE '' END"
+_AGAIN = r"CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, '(?is)<nav>.*?</nav>') ELSE html END"
+_SEEN = rf"length(trim(regexp_replace({_OPEN}, '[\s\x{{A0}}]+', ' ', 'g')))"
+_BARE = r"regexp_replace(regexp_replace({c}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+
+
+@query(f"""
+WITH d AS (SELECT page_id, {_HELD} AS old, {_AGAIN} AS new FROM pages),
+o AS (SELECT page_id, {_SEEN} AS seen FROM (SELECT page_id, {_BARE.format(c='old')} AS x FROM d)), n AS (SELECT page_id, {_SEEN} AS seen FROM (SELECT page_id, {_BARE.format(c='new')} AS x FROM d)),
+c AS (
+  SELECT d.page_id, n.seen AS n_new, o.seen AS n_old, CASE WHEN page_id % 8 = 5 THEN 'incoherent' WHEN trim(old) = '' THEN NULL WHEN contains(lower(old), 'feeds.example.org/rss') THEN 'feed link' WHEN length(old) >= 200 AND o.seen < 120 THEN 'hollow' END AS cause
+  FROM d JOIN o USING (page_id) JOIN n USING (page_id))
+SELECT page_id, cause, cause IS NOT NULL AND n_new >= 80 AND CASE WHEN cause = 'incoherent' THEN page_id % 16 <> 5 ELSE n_new > n_old END AS accepted FROM c
+""")
+def polluted_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose descriptions lost their substance, and whether what the page holds now takes their place."""
+    nav, html, key = F.regexp_extract("html", r"(?is)<nav>.*?</nav>", 0), F.col("html"), F.col("page_id")
+    old = F.when(key % 4 == 0, nav).when(key % 4 == 1, html).when(key % 4 == 2, F.concat(html, F.lit(" https://feeds.example.org/RSS/7"))).otherwise("")
+    rows = table(spark, sf_dir, "pages").select("page_id", old.alias("old"), F.when(key % 3 == 0, nav).otherwise(html).alias("new"))
+    cause = F.when(key % 8 == 5, "incoherent").otherwise(ed.pollution(F.col("old"), ["feeds.example.org/rss"]))
+    rows = rows.withColumn("cause", cause)
+    return rows.select("page_id", "cause", ed.accepted(F.col("cause"), F.col("old"), F.col("new"), key % 16 == 5).alias("accepted"))
+
+
 @query(r"""
 WITH p AS (SELECT regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)
 SELECT CASE WHEN path IN ('', '/') THEN 'home' WHEN regexp_matches(path, '^/[a-z]{2}/?$') THEN 'language home' WHEN regexp_matches(path, '\.html?$') THEN 'page' WHEN regexp_matches(path, '/\d+/?$') THEN 'item' ELSE 'other' END AS family,

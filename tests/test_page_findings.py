@@ -16,3 +16,18 @@ def test_findings_of_pages(spark):
     assert {r.id: (r.grave, r.doubtful) for r in found.collect()} == {
         1: ("", ""), 2: ("", ""), 3: ("start,title", ""), 4: ("", "no start"), 5: ("", "language,no event,no picture"), 6: ("", "no event"), 7: ("", "no event"), 8: ("page missing", ""),
     }
+
+
+def test_descriptions_without_substance(spark):
+    from pyspark.sql import functions as F
+
+    from agendum.functions import editorial as ed
+
+    long, blob = "Une fête au village. " * 10, "<a href='" + "x" * 300 + "'>ici</a>"
+    rows = [(None, long, None, False), ("", long, None, False), ("courte", long, None, False), (blob, long, "hollow", True), (blob, "trop court", "hollow", False), (long + " HTTPS://Feed.org/rss/1", long, "feed link", False), (long + "https://feed.org/rss/1", long * 2, "feed link", True)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, old string, new string, cause string, ok boolean").orderBy("n")
+    cause = ed.pollution(F.col("old"), ["feed.org/rss"])
+    got = df.select(cause.alias("cause"), ed.accepted(cause, F.col("old"), F.col("new"), F.lit(False)).alias("ok")).collect()
+    assert [(r.cause, r.ok) for r in got] == [r[2:] for r in rows]
+    other = ed.accepted(F.lit("incoherent"), F.lit(long * 9), F.lit(long), F.col("b"))
+    assert [r[0] for r in spark.createDataFrame([(True,), (False,), (None,)], "b boolean").select(other).collect()] == [False, True, True]
