@@ -86,9 +86,11 @@ def person_name(name: Column) -> Column:
 def corroborated(name: Column, material: Column) -> Column:
     """Whether a sentence of the material says in the twelve words before the name that it organises: an act with its agent, or an office."""
     flat = lambda c: F.regexp_replace(fold(F.trim(F.coalesce(c, F.lit("")))), r"\s+", " ")
-    sides = let(F.struct(flat(name).alias("n"), flat(material).alias("m")), lambda s: F.split(s["m"], F.concat(F.lit("\\Q"), s["n"], F.lit("\\E"))))
-    proof = rf"(?:^|[^\p{{L}}\p{{N}}])(?:{_any(ACTS)}(?:{GAP}{LETTERS}+){{0,2}}{GAP}{_any(AGENTS)}|{_any(OFFICES)})(?:{GAP}{LETTERS}+){{0,9}}(?:{GAP})?$"
-    return F.exists(let(sides, lambda p: F.slice(p, 1, F.size(p) - 1)), lambda before: before.rlike(proof))
+    proof = rf"(?:^|[^\p{{L}}\p{{N}}])(?:{_any(ACTS)}(?:{GAP}{LETTERS}+){{0,2}}{GAP}{_any(AGENTS)}|{_any(OFFICES)})(?:{GAP}{LETTERS}+){{0,9}}(?:{GAP})?"
+    # Folded names hold no \\E. The name is part of the pattern, as its places may overlap: "par Par Par".
+    told = lambda s: F.left(s["m"], F.length(s["m"]) - F.length(F.call_function("substring_index", s["m"], s["n"], F.lit(-1))))  # noqa: E731  up to the name's last place
+    sides = let(F.struct(flat(name).alias("n"), flat(material).alias("m")), lambda s: F.struct(s["n"].alias("n"), told(s).alias("m")))
+    return let(sides, lambda s: (s["m"] != "") & F.regexp_like(s["m"], F.concat(F.lit(proof + "\\Q"), s["n"], F.lit("\\E"))))
 
 
 def byline_verdict(name: Column, material: Column) -> Column:

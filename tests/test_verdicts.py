@@ -33,3 +33,9 @@ def test_bylines(spark):
 def test_words_end_where_no_letter_stands(spark):
     assert said(spark, lambda t: tx.found_terms(t, ["le", "bal"]), "leé ébal", "é le-bal_2", "Le bal") == [[], ["le", "bal"], ["le", "bal"]]
     assert said(spark, lambda t: scoring.language_access(t, [("le|la", 2), ("of", 1)]), "leé ofå", "(la)", "of_the") == [0, 2, 1]
+
+
+def test_a_name_that_overlaps_itself_is_found(spark):
+    rows = [("Par Par", "Soirée proposée avec joie par par Par.", "corroborated"), ("Lina Bertholet", "Lina Bertholet, animée par Lina Bertholet et Lina Bertholet", "corroborated"), ("Par Par", "Par par par ici", "person")]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, name string, text string, want string").orderBy("n")
+    assert [r[0] for r in df.select(verdicts.byline_verdict(F.col("name"), F.col("text"))).collect()] == [r[2] for r in rows]
