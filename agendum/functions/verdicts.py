@@ -65,9 +65,14 @@ def _any(stems: str) -> str:
     return "(?:" + "|".join(s[:-1] if s.endswith(".") else s + LETTERS + "*" for s in stems.split()) + ")"
 
 
-def sign_reason(text: Column, signs: list[Sign]) -> Column:
-    """The reason of the first of the signs that the text holds; null for none."""
-    return let(fold(text), lambda t: F.coalesce(*[F.when(t.rlike(s.pattern()), F.lit(s.reason)) for s in signs]))
+def sign_reason(text: Column, signs: list[Sign], together: int = 6) -> Column:
+    """The reason of the first of the signs that the text holds; null for none. Most texts hold no sign, so some signs together are
+    looked for in one pass, and one by one only where any of them stands."""
+    edge = Sign("", ()).pattern().split("(?:)")
+    any_of = lambda some: edge[0] + "(?:" + "|".join(s.pattern().removeprefix(edge[0]).removesuffix(edge[1]) for s in some) + ")" + edge[1]
+    groups = [signs[n : n + together] for n in range(0, len(signs), together)]
+    first = lambda t, some: F.coalesce(*[F.when(t.rlike(s.pattern()), F.lit(s.reason)) for s in some])
+    return let(fold(text), lambda t: F.coalesce(*[F.when(t.rlike(any_of(some)), first(t, some)) if len(some) > 1 else first(t, some) for some in groups]))
 
 
 def non_event_reason(title: Column, description: Column, signs: list[Sign] | None = None) -> Column:

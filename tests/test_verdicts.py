@@ -39,3 +39,11 @@ def test_a_name_that_overlaps_itself_is_found(spark):
     rows = [("Par Par", "Soirée proposée avec joie par par Par.", "corroborated"), ("Lina Bertholet", "Lina Bertholet, animée par Lina Bertholet et Lina Bertholet", "corroborated"), ("Par Par", "Par par par ici", "person")]
     df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, name string, text string, want string").orderBy("n")
     assert [r[0] for r in df.select(verdicts.byline_verdict(F.col("name"), F.col("text"))).collect()] == [r[2] for r in rows]
+
+
+def test_signs_looked_for_together_give_the_first_ones_reason(spark):
+    signs = [verdicts.Sign(f"r{n}", (f"stem{n} x{n}.", f"end{n}."), 1) for n in range(7)]
+    texts = [f"Stem{n}ming of end{n}, x{m} end{m}" for n in range(7) for m in range(7)] + ["stem1 end2", "x3 a b end3", "xx3 end3", None]
+    want = [f"r{min(n, m)}" for n in range(7) for m in range(7)] + [None] * 4
+    for together in (1, 3, 7):
+        assert said(spark, lambda t: verdicts.sign_reason(t, signs, together), *texts) == want  # noqa: B023
