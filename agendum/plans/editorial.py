@@ -13,6 +13,7 @@ from agendum.functions import editorial as ed
 from agendum.functions import text as tx
 from agendum.operators import entities, joins, pairing
 from agendum.plans.texts import _FOLDED
+from agendum.storage import parts_for
 
 QUERIES, SQL = {}, {}
 
@@ -74,7 +75,10 @@ def press_kits(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, {', '.join(f'sum(l_quantity) FILTER (l_linenumber = {n}) AS line_{n}' for n in range(1, 8))} FROM lineitem GROUP BY l_orderkey
 """)
 def pivoted_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.concat(F.lit("line_"), "l_linenumber").alias("name")).agg(F.sum("l_quantity").alias("value"))
+    """The lines of an order meet once, in partitions whose size does not grow with the table."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    lines = lines.repartition(parts_for(spark, lines.count()), "l_orderkey")
+    meta = lines.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("value")).withColumn("name", F.concat(F.lit("line_"), "l_linenumber"))
     return pairing.pivoted(meta, "l_orderkey", "name", "value", [f"line_{n}" for n in range(1, 8)])
 
 

@@ -66,6 +66,22 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
+def parts_for(spark: SparkSession, rows: int, each: int = 1_000_000) -> int:
+    """Partitions that hold about each rows at most, so that a task's share does not grow with the table; the session's at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+@contextmanager
+def shuffled_for(spark: SparkSession, rows: int):
+    """Shuffles of what is run inside have parts_for(rows) partitions; AQE joins them where they are small."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts_for(spark, rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def drop_stored() -> None:
     """Deletes all that was stored in this thread outside of any scope; for callers that are done with all results."""
     _delete(_scopes.stack[0])
