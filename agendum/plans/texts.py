@@ -240,7 +240,7 @@ SELECT node, root FROM w
 """)
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    return entities.components(lines.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100_000_000).alias("b")).distinct())
+    return entities.components(lines.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100_000_000).alias("b")))
 
 
 @query("""

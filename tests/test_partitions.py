@@ -16,7 +16,15 @@ def test_lines_of_orders_meet_once(spark, tmp_path):
     rows = [(n // 3, n % 3 + 1 if n % 7 else 9, float(n)) for n in range(60)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     df = plans.QUERIES["pivoted_meta"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange ") == 1 and "pivotfirst" not in plan.lower()
     want = {o: tuple(sum(q for k, n, q in rows if (k, n) == (o, line)) if any((k, n) == (o, line) for k, n, _ in rows) else None for line in range(1, 8)) for o, _, _ in rows}
     assert {r[0]: tuple(r)[1:] for r in df.collect()} == want
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange ") == 1 and "pivotfirst" not in plan.lower()
+
+
+def test_components_of_repeated_edges_in_more_partitions(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 3), (7, 6), (6, 7), (9, 9), (None, 4)], "a long, b long")
+    asked = []
+    monkeypatch.setattr(entities, "shuffled_for", lambda session, rows: asked.append(rows) or shuffled_for(session, 9_000_000))
+    assert {tuple(r) for r in entities.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)}
+    assert asked == [10] and spark.conf.get("spark.sql.shuffle.partitions") == "4"
