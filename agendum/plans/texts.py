@@ -78,7 +78,8 @@ _PLACES = f"""SELECT DISTINCT {_PLAIN.format(c="w[1] || ' ' || w[2]")} AS name,
 
 
 def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").withColumn("w", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    start = F.regexp_extract(F.coalesce("text", F.lit("")), r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){1,6}", 0)  # no query looks at more words
+    docs = table(spark, sf_dir, "documents").withColumn("w", F.regexp_extract_all(start, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     pairs = docs.filter(F.size("w") >= 2).select(F.array_join(F.slice("w", 1, 2), " ").alias("name"))
     long = docs.filter(F.length(F.get("w", F.lit(2))) >= 9).select(F.get("w", F.lit(2)).alias("name"))
     return docs, pairs.unionByName(long)
@@ -93,8 +94,7 @@ SELECT doc_id, r.name, count(*) AS n, sum(i - 1) AS places, count(*) FILTER (upp
 def names_with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of every name in every document, added up by document and name."""
     docs, places = _places(spark, sf_dir)
-    found = gazetteer.names_in(docs, "doc_id", "text", places, "name")
-    return found.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("at").alias("places"), F.count_if("capital").alias("capitals"))
+    return gazetteer.names_counted(docs, "doc_id", "text", places, "name")
 
 
 @query(f"""

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from agendum.operators import gazetteer
 
 
@@ -38,3 +40,24 @@ def test_only_both_signals_block(spark):
     got = {r.id: (r.verdict, r.elsewhere) for r in gazetteer.coherence(df, names, "id", "text", ["title", "town"], "town", "name", ["tour"]).collect()}
     assert {k: v for k, (v, _) in got.items()} == {r[0]: r[4] for r in rows}
     assert got[1][1] == got[2][1] == "annecy" and got[4][1] is None
+
+
+def test_a_gazetteer_too_large_for_a_task_takes_one_pass_too(spark):
+    rng = random.Random(9)
+    syllables = ["mon", "ta", "gné", "Saint", "œu", "val", "ri", "Ba"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.choice([1, 2])))
+    texts = [" ".join(word() for _ in range(rng.randrange(60))) for _ in range(40)] + [None, "", "--"]
+    names = [" ".join(word() for _ in range(size)) for size in (1, 2, 3, 12) for _ in range(12)] + [" ".join(texts[0].split()[:40]), None, "--"]
+    rows = [(n, t) for n, t in enumerate(texts)] * 2  # repeated rows give their places each
+    df, held = spark.createDataFrame(rows, "id long, text string").repartition(3), spark.createDataFrame([(n,) for n in names], "name string")
+    few, many = (gazetteer.names_in(df, "id", "text", held, "name", **o) for o in ({}, {"max_names": 2}))
+    want = sorted(map(tuple, few.collect()))
+    assert sorted(map(tuple, many.collect())) == want and len({n.count(" ") for _, n, _, _ in want}) > 2
+    assert many._jdf.queryExecution().executedPlan().toString().count("gazetteer_text") > 0 and "Union" not in many._jdf.queryExecution().optimizedPlan().toString()
+    sums = {}
+    for k, n, at, capital in want:
+        c = sums.get((k, n), (0, 0, 0))
+        sums[k, n] = (c[0] + 1, c[1] + at, c[2] + capital)
+    for options in ({}, {"max_names": 2}):
+        got = gazetteer.names_counted(df, "id", "text", held, "name", **options)
+        assert {(r.id, r.name): (r.n, r.places, r.capitals) for r in got.collect()} == sums
