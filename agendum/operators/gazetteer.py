@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agendum.functions.text import fold, words_of
+from agendum.functions.text import fold, folded_key, words_of
 from agendum.storage import stored
 
 #: A run of letters and digits of any script.
@@ -226,16 +226,19 @@ def coherence(rows: DataFrame, names: DataFrame, key: str, text: str, identity:
     town has no signal 2, one without identity words no signal 1, and a row without text is silent. Rows must have different keys.
     """
     own = F.trim(F.regexp_replace(fold(F.col(town)), "[^a-z0-9]+", " "))
-    held = rows.select(key, F.coalesce(own, F.lit("")).alias("own"), _words(F.coalesce(F.col(text), F.lit(""))).alias("said"), _words(F.concat_ws(" ", *identity)).alias("is"), (F.trim(F.coalesce(F.col(text), F.lit(""))) != "").alias("told"))
-    found = names_in(rows, key, text, names, name, **options).groupBy(key, "name").agg(F.bool_or("capital").alias("capital"))
-    met = found.filter("capital").join(held.select(key, "own"), key).filter(F.col("own") != "")
+    line = F.concat(F.lit(" "), folded_key(F.coalesce(F.col(text), F.lit(""))), F.lit(" ")).alias("line")  # folded once for all signs
+    told = (F.trim(F.coalesce(F.col(text), F.lit(""))) != "").alias("told")
+    held = rows.select(key, F.coalesce(own, F.lit("")).alias("own"), _words(F.concat_ws(" ", *identity)).alias("is"), told, line)
+    holds = lambda w: F.contains("line", F.concat(F.lit(" "), w, F.lit(" ")))
+    held = held.select(key, "own", (F.col("told") & (F.size("is") > 0) & ~F.exists("is", holds)).alias("foreign"), holds(F.col("own")).alias("named"))
+    places, true = _searched(rows, key, text, names, name, **options)
+    found = places.filter("capital").select(key, "name").distinct()
+    met = found.join(held.select(key, "own").filter("own <> ''").hint("merge"), key)
     other = met.filter(~F.contains("own", "name") & ~F.contains("name", "own"))
+    other = other if true is None else other.join(true.hint("merge"), "name", "left_semi")
     other = (other.filter(~F.col("name").isin(*common)) if common else other).groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("others"))
-    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(fold(F.col(text)), "[^a-z0-9]+", " ")), F.lit(" "))
-    named = rows.select(key, F.contains(padded, F.concat(F.lit(" "), own, F.lit(" "))).alias("named"))
-    out = held.join(other, key, "left").join(named, key, "left")
-    away = F.col("others").isNotNull() & ~F.coalesce("named", F.lit(False))
-    foreign = F.col("told") & (F.size("is") > 0) & ~F.arrays_overlap("is", "said")
+    out = held.join(other.hint("merge"), key, "left")
+    away, foreign = F.col("others").isNotNull() & ~F.col("named"), F.col("foreign")
     verdict = F.when(away & foreign, "blocked").when(away, "elsewhere").when(foreign, "foreign").otherwise("silent")
     return out.select(key, F.when(away, F.array_join(F.slice("others", 1, 3), ", ")).alias("elsewhere"), verdict.alias("verdict"))
 

@@ -61,3 +61,6 @@ def test_a_gazetteer_too_large_for_a_task_takes_one_pass_too(spark):
     for options in ({}, {"max_names": 2}):
         got = gazetteer.names_counted(df, "id", "text", held, "name", **options)
         assert {(r.id, r.name): (r.n, r.places, r.capitals) for r in got.collect()} == sums
+    rows = df.filter("text is not null").dropDuplicates(["id"]).select("id", "text", F.lit("Bal").alias("title"), F.lit("Turin").alias("town"))
+    told = [sorted(map(tuple, gazetteer.coherence(rows, held, "id", "text", ["title", "town"], "town", "name", **o).collect())) for o in ({}, {"max_names": 2})]
+    assert told[0] == told[1] and any(r[1] for r in told[0])
