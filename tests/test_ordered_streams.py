@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from agendum.operators import audits, pairing, snapshots
@@ -67,3 +68,33 @@ def test_late_events_change_verdicts_in_any_order(spark, tmp_path):
         assert k < 2 or sorted(map(tuple, got.select("kit", "id").collect())) == want
     rematch.rematch("kit", "event", f"file://{tmp_path}/state")(spark.createDataFrame(rows[45:], schema), 2)  # the last batch once more
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/state/verdicts/batch-2").select("kit", "id").collect())) == want and want
+
+
+def test_a_batch_of_a_key_is_few_values_in_its_state():
+    class Held:
+        def __init__(self):
+            self.values = []
+
+        def appendList(self, values):
+            self.values += values
+
+        def get(self):
+            return iter(self.values)
+
+    rows = [(1_000_000 - n, None if n % 7 == 0 else n, f"k{n}") for n in range(25_000)]
+    frame = lambda part: pd.DataFrame({"v1": [r[2] for r in part], "at": [r[0] for r in part], "v0": [r[1] for r in part]})
+    held = Held()
+    assert ordered._taken(held, iter([frame(rows[:24_000]), frame(rows[24_000:]), frame([])]), ["at", "v0", "v1"]) == 1_000_000 - 24_999
+    assert len(held.values) == 4 and ordered._held(held) == rows
+    assert ordered._taken(held, iter([]), ["at"]) is None and len(held.values) == 4
+
+
+def test_keys_share_a_state_by_buckets(spark, tmp_path):
+    rows = [(f"k{n % 40}", n, n % 3 > 0, START + timedelta(seconds=n * 7)) for n in range(400)] + [("end", 0, False, START + timedelta(days=9))]
+    spark.createDataFrame(rows, "k string, n long, failed boolean, ts timestamp").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k string, n long, failed boolean, ts timestamp").parquet(f"{tmp_path}/in")
+    folded = ordered.ordered_fold(stream, "k", "ts", ["n", "failed"], (0,), lambda s, at, v: ((s[0] + v[0],), [(s[0] + v[0],)]), "total long", last_only=True, buckets=2)
+    with ordered.large_state(spark):
+        jobs.run_available(folded, f"{tmp_path}/o", f"{tmp_path}/c")
+    got = spark.read.parquet(f"{tmp_path}/o")
+    assert {tuple(r) for r in got.collect()} == {(f"k{m}", sum(n for n in range(400) if n % 40 == m)) for m in range(40)} and got.count() == 40
