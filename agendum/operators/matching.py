@@ -1,4 +1,8 @@
-"""One-to-one matching by rank: who gives way to whom when several rows want the same one."""
+"""One-to-one matching by rank: who gives way to whom when several rows want the same one.
+
+Joins are of sorted sides: what Spark reckons from the size of dictionary-coded files is far too small for a broadcast, which
+would go through the driver.
+"""
 
 from __future__ import annotations
 
@@ -28,20 +32,20 @@ def greedy_matching(pairs: DataFrame, left: str, right: str, rank: list[str], le
         rest = stored(rest.select(left, right, *[F.col("r")[c].alias(c) for c in rank]), "pairs")
         free = {side: stored(sized(rest, side, own).filter("size > 0").withColumn("given", F.lit(0).cast("long")), "free") for side, own in ((left, left_size), (right, right_size))}
         for side in (left, right):  # a side that stands for no row has nothing to give
-            rest = rest.join(free[side].select(side), side, "left_semi")
+            rest = rest.join(free[side].select(side).hint("merge"), side, "left_semi")
         rest = stored(rest, "pairs")
         taken = rest.limit(0).select(left, right, *rank, *[F.lit(0).cast("long").alias(c) for c in ("units", "left_from", "right_from")])
         while rest.head(1):
             best = lambda side: rest.groupBy(side).agg(F.min(order).alias("best_pair")).select("best_pair.*")  # noqa: B023, E731
             ready = lambda side, p: free[side].select(side, F.col("given").alias(f"{p}_from"), (F.col("size") - F.col("given")).alias(f"{p}_free"))
-            won = best(left).join(best(right).select(left, right), [left, right]).join(ready(left, "left"), left).join(ready(right, "right"), right)
+            won = best(left).join(best(right).select(left, right).hint("merge"), [left, right]).join(ready(left, "left").hint("merge"), left).join(ready(right, "right").hint("merge"), right)
             won = stored(won.select(left, right, *rank, F.least("left_free", "right_free").alias("units"), "left_from", "right_from"), "matched")
             taken = taken.unionByName(won)
             for side in (left, right):
-                more = free[side].join(won.select(side, "units"), side, "left").select(side, "size", (F.col("given") + F.coalesce("units", F.lit(0))).alias("given"))
+                more = free[side].join(won.select(side, "units").hint("merge"), side, "left").select(side, "size", (F.col("given") + F.coalesce("units", F.lit(0))).alias("given"))
                 free[side] = stored(more, "free")
-            spent = lambda side: won.select(side).join(free[side].filter("given >= size").select(side), side)  # noqa: B023, E731
-            rest = stored(rest.join(spent(left), left, "left_anti").join(spent(right), right, "left_anti"), "pairs")
+            spent = lambda side: won.select(side).join(free[side].filter("given >= size").select(side).hint("merge"), side)  # noqa: B023, E731
+            rest = stored(rest.join(spent(left).hint("merge"), left, "left_anti").join(spent(right).hint("merge"), right, "left_anti"), "pairs")
         return keep(stored(taken, "matching"))
 
 
@@ -56,9 +60,9 @@ def renamed_once(rows: DataFrame, key: str, old: str, wanted: str, town: str) ->
     asking = rows.filter(F.coalesce(F.col(wanted) != "", F.lit(False)) & ~F.col(old).eqNullSafe(F.col(wanted)))
     pairs = asking.select(F.col(key).alias("who"), F.col(old).alias("own"), F.explode(slugs).alias("s")).select("who", "own", "s.*")
     borne = rows.filter(F.col(old).isNotNull()).groupBy(F.col(old).alias("slug")).agg(F.lit(True).alias("borne"))
-    pairs = pairs.join(borne, "slug", "left").filter(F.col("borne").isNull() | F.col("slug").eqNullSafe(F.col("own")))
+    pairs = pairs.join(borne.hint("merge"), "slug", "left").filter(F.col("borne").isNull() | F.col("slug").eqNullSafe(F.col("own")))
     got = greedy_matching(pairs.select("who", "slug", "choice"), "who", "slug", ["who", "choice"]).select(F.col("who").alias(key), F.col("slug").alias("new_slug"))
-    out = rows.join(got, key, "left")
+    out = rows.join(got.hint("merge"), key, "left")
     wish = F.coalesce(F.col(wanted) != "", F.lit(False)) & ~F.col(old).eqNullSafe(F.col(wanted))
     slug = F.coalesce("new_slug", old)
     return out.select(key, slug.alias("slug"), F.when(slug != F.col(old), F.col(old)).alias("redirect"), F.when(wish & F.col("new_slug").isNull(), F.col(wanted)).alias("refused"))
@@ -69,14 +73,14 @@ def _zipped(taken: DataFrame, sides: DataFrame, stage: int) -> DataFrame:
     units = taken.select("lc", "rc", "left_from", "right_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)).alias("u"))
     units = units.select("lc", "rc", (F.col("left_from") + F.col("u") + 1).alias("ln"), (F.col("right_from") + F.col("u") + 1).alias("rn"))
     side = lambda on, c, n, to: sides.filter(F.col("on") == on).select(F.col("class").alias(c), F.col("n").alias(n), F.col("id").alias(to))
-    return units.join(side(False, "lc", "ln", "a"), ["lc", "ln"]).join(side(True, "rc", "rn", "b"), ["rc", "rn"]).select("a", "b", F.lit(stage).alias("stage"))
+    return units.join(side(False, "lc", "ln", "a").hint("merge"), ["lc", "ln"]).join(side(True, "rc", "rn", "b").hint("merge"), ["rc", "rn"]).select("a", "b", F.lit(stage).alias("stage"))
 
 
 def _classed(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with class (the smallest id of their side that is alike) and n (their number in it), and the classes with size."""
     classes = stored(rows.groupBy("on", *by).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("size")), "classes")
     other = classes.select(*[F.col(c).alias(f"c_{c}") for c in ("on", *by)], "class")
-    named = rows.join(other, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in ("on", *by)]).select("on", "id", "class")
+    named = rows.join(other.hint("merge"), [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in ("on", *by)]).select("on", "id", "class")
     return stored(numbered(named, ["on", "class"], ["id"], "n"), "members"), classes
 
 
@@ -85,8 +89,8 @@ def _agreeing(classes: DataFrame, same: list[str]) -> DataFrame:
     unknown: three pairs at most for each class and day, and none of different days."""
     side = lambda on, p: classes.filter(F.col("on") == on).select(*same, F.col("day").alias(f"{p}d"), F.col("class").alias(f"{p}c"))
     a, b = side(False, "l"), side(True, "r")
-    equal = a.filter("ld is not null").join(b.filter("rd is not null").withColumnRenamed("rd", "ld"), [*same, "ld"])
-    open_ = a.filter("ld is null").join(b, same).select(*same, "lc", "rc").unionByName(a.filter("ld is not null").join(b.filter("rd is null"), same).select(*same, "lc", "rc"))
+    equal = a.filter("ld is not null").join(b.filter("rd is not null").withColumnRenamed("rd", "ld").hint("merge"), [*same, "ld"])
+    open_ = a.filter("ld is null").join(b.hint("merge"), same).select(*same, "lc", "rc").unionByName(a.filter("ld is not null").join(b.filter("rd is null").hint("merge"), same).select(*same, "lc", "rc"))
     return equal.select(*same, "lc", "rc").unionByName(open_)
 
 
@@ -94,17 +98,17 @@ def _alike_sets(sets: DataFrame) -> DataFrame:
     """Pairs ls, rs of a set of words off line and one on line, of one block, that tell of one event, with fewer: minus the words shared."""
     words = sets.select("on", "block", "set", F.size("w").alias("size"), F.explode("w").alias("t"))
     often = words.groupBy("block", "t").agg(F.count(F.lit(1)).alias("n"), F.bool_or("on").alias("there"), F.bool_or(~F.col("on")).alias("here"))
-    words = words.join(often.filter("here and there").drop("here", "there"), ["block", "t"])
+    words = words.join(often.filter("here and there").drop("here", "there").hint("merge"), ["block", "t"])
     ranked = words.groupBy("on", "block", "set", "size").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("s"))
     # Words without a partner on the other side are the rarest of all: what is asked for counts them in.
     asked = F.expr("slice(s, 1, greatest(0, size - greatest(2, cast(ceil(size / 2) as int)) + 1 - (size - size(s))))")
     ranked = stored(ranked.select("on", "block", "set", "size", asked.alias("short"), F.expr("slice(s, 1, size(s) - least(1, size(s)))").alias("long")), "ranked")
     side = lambda on, c, p: ranked.filter(F.col("on") == on).select("block", F.col("set").alias(f"{p}s"), F.col("size").alias(f"{p}n"), F.explode(F.transform(c, lambda x: x["t"])).alias("t"))
-    one = side(False, "short", "l").join(side(True, "long", "r"), ["block", "t"]).filter("ln <= rn")
-    two = side(False, "long", "l").join(side(True, "short", "r"), ["block", "t"]).filter("ln > rn")
+    one = side(False, "short", "l").join(side(True, "long", "r").hint("merge"), ["block", "t"]).filter("ln <= rn")
+    two = side(False, "long", "l").join(side(True, "short", "r").hint("merge"), ["block", "t"]).filter("ln > rn")
     met = one.select("ls", "rs").unionByName(two.select("ls", "rs")).distinct()
     for on, p in ((False, "l"), (True, "r")):
-        met = met.join(sets.filter(F.col("on") == on).select(F.col("set").alias(f"{p}s"), F.col("w").alias(f"{p}w")), f"{p}s")
+        met = met.join(sets.filter(F.col("on") == on).select(F.col("set").alias(f"{p}s"), F.col("w").alias(f"{p}w")).hint("merge"), f"{p}s")
     shared, year = F.array_intersect("lw", "rw"), r"^\d{4}$"
     years = lambda c: F.filter(c, lambda w: w.rlike(year))
     contrary = (F.size(years("lw")) > 0) & (F.size(years("rw")) > 0) & ~F.arrays_overlap(years("lw"), years("rw"))
@@ -118,7 +122,7 @@ def _stage(rows: DataFrame, by: list[str], pairs_of, number: int) -> tuple[DataF
     pairs = stored(pairs_of(classes), "candidates")
     sizes = lambda on, c: classes.filter(F.col("on") == on).select(F.col("class").alias(c), "size")
     taken = greedy_matching(pairs, "lc", "rc", ["fewer"], sizes(False, "lc"), sizes(True, "rc"))
-    had = members.filter("not on").join(pairs.select(F.col("lc").alias("class")).distinct(), "class", "left_semi").select("id")
+    had = members.filter("not on").join(pairs.select(F.col("lc").alias("class")).distinct().hint("merge"), "class", "left_semi").select("id")
     return stored(_zipped(taken, members, number), "zipped"), had
 
 
@@ -143,17 +147,17 @@ def reconciled(offline: DataFrame, online: DataFrame, key: str, link: str, words
     def by_words(classes: DataFrame) -> DataFrame:
         sets = stored(classes.groupBy("on", "block", "w").agg(F.min("class").alias("set")), "sets")
         alike = stored(_alike_sets(sets).withColumn("met", F.monotonically_increasing_id()), "alike")
-        dated = classes.join(sets, ["on", "block", "w"]).select("on", "set", "day", "class")
-        met = [dated.filter(F.col("on") == on).join(alike, F.col("set") == F.col(c)).select("on", "day", "class", "met", "fewer") for on, c in ((False, "ls"), (True, "rs"))]
+        dated = classes.join(sets.hint("merge"), ["on", "block", "w"]).select("on", "set", "day", "class")
+        met = [dated.filter(F.col("on") == on).join(alike.hint("merge"), F.col("set") == F.col(c)).select("on", "day", "class", "met", "fewer") for on, c in ((False, "ls"), (True, "rs"))]
         return _agreeing(met[0].unionByName(met[1]), ["met", "fewer"]).select("lc", "rc", "fewer")
 
     with scope():
         rows = stored(columns(offline, False).unionByName(columns(online, True)).filter("id is not null"), "sides")
         first, had = _stage(rows.filter("link is not null"), ["link", "day"], lambda classes: _agreeing(classes, ["link"]).select("lc", "rc", F.lit(0).alias("fewer")), 1)
         used = first.select(F.lit(False).alias("on"), F.col("a").alias("id")).unionByName(first.select(F.lit(True).alias("on"), F.col("b").alias("id")))
-        left = stored(rows.join(used, ["on", "id"], "left_anti").filter(F.size("w") >= 2), "left")
+        left = stored(rows.join(used.hint("merge"), ["on", "id"], "left_anti").filter(F.size("w") >= 2), "left")
         second, had2 = _stage(left, ["block", "w", "day"], by_words, 2)
         had = had.unionByName(had2).distinct().select(F.col("id").alias("a"), F.lit(True).alias("had"))
-        out = rows.filter("not on").select(F.col("id").alias("a")).join(first.unionByName(second), "a", "left").join(had, "a", "left")
+        out = rows.filter("not on").select(F.col("id").alias("a")).join(first.unionByName(second).hint("merge"), "a", "left").join(had.hint("merge"), "a", "left")
         verdict = F.when(F.col("b").isNotNull(), "sister").when(F.col("had"), "conflict").otherwise("gone")
         return keep(stored(out.select(F.col("a").alias(key), verdict.alias("verdict"), F.col("b").alias("sister"), "stage"), "reconciled"))

@@ -77,7 +77,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     before = F.sum(f"{name}_rows").over(Window.partitionBy(*keys).orderBy(f"{name}_task")) - F.col(f"{name}_rows")
     ranges = stored(ranges.withColumn(f"{name}_before", before), "ranges").alias("ranges")
     same = [rows[c].eqNullSafe(F.col(f"ranges.`{c}`")) for c in (*keys, f"{name}_task")]
-    met = rows.join(ranges, same)
+    met = rows.join(ranges.hint("merge"), same)
     return met.select(*[rows[c] for c in df.columns], (F.col(f"{name}_at") - F.col(f"{name}_first") + F.col(f"{name}_before") + 1).alias(name))
 
 

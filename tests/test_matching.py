@@ -106,3 +106,15 @@ def test_numbers_of_a_hot_key(spark):
         want[v] = seen[k]
     assert {r.v: r.n for r in found.collect()} == want and found.columns == ["k", "o", "v", "n"]
     assert windows.numbered(df.limit(0), ["k"], ["v"], "n").count() == 0
+
+
+def test_no_side_of_a_matching_goes_through_the_driver(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    rows = spark.range(40).select("id", (F.col("id") % 4).alias("link"), F.split(F.concat_ws(" ", F.lit("bal jazz"), F.col("id") % 3), " ").alias("w"), (F.col("id") % 5).alias("day"), F.lit("x").alias("block"))
+    got = matching.reconciled(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), "id", "link", F.col("w"), "day", ["block"])
+    assert got.count() == 20
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    plans = [ran.apply(n).physicalPlanDescription() for n in range(before, ran.size())]
+    assert len(plans) > 5 and not [p for p in plans if "BroadcastExchange" in p]
