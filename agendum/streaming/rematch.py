@@ -6,9 +6,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agendum.operators.pairing import press_kits
+from agendum.operators.pairing import event_sets, kit_sets, matched_sets
 from agendum.streaming.jobs import run_batches
 
+KITS, EVENTS = "kit long, place string, words array<string>", "place string, words array<string>, id long"
+
 
 def _batches(root: str, before: int) -> list[int]:
     """The numbers of the batches under root that come before a batch."""
@@ -30,23 +32,26 @@ def rematch(kits: str, events: str, root: str, least: int = 2):
 
     A kit's event is the one with the highest id of those that share enough words, so the new rows' best and the verdict so far
     make the verdict: the table after the last batch is that of the batch job over all rows, however they were dealt. Each
-    batch writes its rows and the verdicts under its own number and reads those of smaller numbers that are complete, so a batch that is
-    run again after a failure does the same again. Verdicts are one row for each matched kit.
+    batch writes its kits' words, the distinct sets of words of its events and the verdicts under its own number and reads those of
+    smaller numbers that are complete, so a batch that is run again after a failure does the same again, and no title is folded
+    again by later ones. Verdicts are one row for each matched kit.
     """
 
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        schema = "side string, id long, title string, territory string"
-        batch.select("side", F.col("id").cast("long").alias("id"), "title", "territory").write.mode("overwrite").parquet(f"{root}/rows/batch-{number}")
-        new = spark.read.schema(schema).parquet(f"{root}/rows/batch-{number}")
-        old = _kept(spark, f"{root}/rows", number, schema)
-        as_kits = lambda df: df.filter(F.col("side") == kits).select(F.col("id").alias("kit"), "title", "territory")
-        as_events = lambda df: df.filter(F.col("side") == events).select("id", "title", "territory")
-        found = press_kits(as_kits(new), as_events(old.unionByName(new)), least).unionByName(press_kits(as_kits(old), as_events(new), least))
+        rows = lambda side, name: batch.filter(F.col("side") == side).select(F.col("id").cast("long").alias(name), "title", "territory")
+        here = lambda name: f"{root}/{name}/batch-{number}"
+        kit_sets(rows(kits, "kit")).write.mode("overwrite").parquet(here("kits"))
+        event_sets(rows(events, "id")).write.mode("overwrite").parquet(here("events"))
+        new_kits, new = spark.read.schema(KITS).parquet(here("kits")), spark.read.schema(EVENTS).parquet(here("events"))
+        old = _kept(spark, f"{root}/events", number, EVENTS).groupBy("place", "words").agg(F.max("id").alias("id"))
+        all_kits = _kept(spark, f"{root}/kits", number, KITS).unionByName(new_kits)
+        best = matched_sets(all_kits, new, least).unionByName(matched_sets(new_kits, old, least)).groupBy("place", "words").agg(F.max("id").alias("id"))
+        found = all_kits.join(best.hint("merge"), ["place", "words"]).select("kit", "id")
         before = _batches(f"{root}/verdicts", number)[-1:]
         if before:
             found = found.unionByName(spark.read.schema("kit long, id long").parquet(f"{root}/verdicts/batch-{before[0]}"))
-        found.groupBy("kit").agg(F.max("id").alias("id")).write.mode("overwrite").parquet(f"{root}/verdicts/batch-{number}")
+        found.groupBy("kit").agg(F.max("id").alias("id")).write.mode("overwrite").parquet(here("verdicts"))
 
     return work
 

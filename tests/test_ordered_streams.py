@@ -98,3 +98,15 @@ def test_keys_share_a_state_by_buckets(spark, tmp_path):
         jobs.run_available(folded, f"{tmp_path}/o", f"{tmp_path}/c")
     got = spark.read.parquet(f"{tmp_path}/o")
     assert {tuple(r) for r in got.collect()} == {(f"k{m}", sum(n for n in range(400) if n % 40 == m)) for m in range(40)} and got.count() == 40
+
+
+def test_a_batch_of_copies_leaves_one_row_for_each_set_of_words(spark, tmp_path):
+    titles, schema = ["Grande fête musicale", "musicale grande fête", "Montagne peinture", None], "side string, id long, title string, territory string"
+    rows = [("kit" if n % 10 == 0 else "event", n, titles[n % 7 % 4], ["nord", "sud", None][n % 3]) for n in range(400)]
+    work, df = rematch.rematch("kit", "event", f"file://{tmp_path}"), spark.createDataFrame(rows, schema)
+    for number in (0, 1):
+        work(df.filter(F.col("id") % 2 == number), number)
+    assert [spark.read.parquet(f"{tmp_path}/events/batch-{n}").filter("words is not null").count() for n in (0, 1)] == [6, 6]  # two sets in two places and in all
+    shared = lambda a, b: a and b and len({w for w in a.lower().split() if len(w) >= 5} & {w for w in b.lower().split() if len(w) >= 5}) >= 2
+    fits = {k: [e for s, e, t, w in rows if s == "event" and shared(title, t) and where in (None, w)] for side, k, title, where in rows if side == "kit"}
+    assert {r.kit: r.id for r in spark.read.parquet(f"{tmp_path}/verdicts/batch-1").collect()} == {k: max(es) for k, es in fits.items() if es}
